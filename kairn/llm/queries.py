@@ -11,6 +11,7 @@ from .license_scan import license_scan
 from .mix import mix_sources
 from .packing import pack
 from .quality import quality_rules
+from .substring_dedup import substring_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +41,16 @@ def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), **vocabulary())
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_docs(spark, sf_dir)).drop("kept_text")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op5_license_scan, op8_curve_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op5_license_scan, op8_curve_packing, op9_substring_dedup, op10_quality_rules)}
 
 
 #: Text without white space, as DuckDB reads it.
