@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .license_scan import license_scan
 from .mix import mix_sources
 from .packing import pack
@@ -30,6 +31,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_docs(spark, sf_dir)).drop("spans")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_docs(spark, sf_dir))
+
+
 def vocabulary() -> dict[str, str]:
     """Where the public vocabulary lies on this machine; the files are read, never copied."""
     import public_tokenizers as P
@@ -50,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op5_license_scan, op8_curve_packing, op9_substring_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op5_license_scan, op6_jaccard_join, op8_curve_packing, op9_substring_dedup, op10_quality_rules)}
 
 
 #: Text without white space, as DuckDB reads it.
