@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
+from .langid import language_id
 from .license_scan import license_scan
 from .mix import mix_sources
 from .packing import pack
@@ -27,6 +28,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_docs(spark, sf_dir))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_docs(spark, sf_dir)).drop("spans")
 
@@ -55,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op5_license_scan, op6_jaccard_join, op8_curve_packing, op9_substring_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op4_language_id, op5_license_scan, op6_jaccard_join, op8_curve_packing, op9_substring_dedup, op10_quality_rules)}
 
 
 #: Text without white space, as DuckDB reads it.
