@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import stash
+from .util import group_back, stash
 
 
 #: Edges that one task finishes by itself; more go through distributed rounds.
@@ -76,3 +76,39 @@ def components(edges: DataFrame) -> DataFrame:
     if label is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return label
+
+
+def connect(
+    lists: DataFrame,
+    facts: list[str],
+    close: Callable[[str, str], str],
+    apart: Callable[[str, str], str],
+    verify: Callable[[DataFrame], DataFrame],
+    links: DataFrame | None = None,
+) -> DataFrame:
+    """Components of all pairs that share a key of `lists` (key, id, facts) and are verified links.
+
+    close and apart are SQL on facts of two rows: whether a link is possible, and how far apart they
+    are. verify takes candidate pairs (a, b), a < b, and returns those that link. `links` are known.
+
+    Only connectivity is wanted. A first round checks every id with the nearest of its keys' hubs (a
+    hub is one id of a key's list, by hash). Lists within one component then need nothing more; the
+    second round checks every remaining pair of a list from two components that may be close. So a
+    group of near copies costs a check for each member, not for each pair, and no link is lost.
+    """
+    hub = F.struct(F.xxhash64("id", "key").alias("o"), "id", *facts)
+    near = group_back(lists, ["key"], {"hub": (F.min(hub), "min")}, F.col("id")).where("id <> hub.id")
+    near = near.select(F.struct("id", *facts).alias("x"), F.col("hub").alias("y")).where(close("x", "y"))
+    best = near.groupBy(F.col("x.id").alias("a")).agg(F.min(F.struct(F.expr(apart("x", "y")).alias("d"), F.col("y.id").alias("b"))).alias("m"))
+    pairs = best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+    found = verify(stash(pairs, "pairs"))
+    found = stash(found if links is None else links.unionByName(found), "links")
+    comp = components(found)
+
+    named = lists.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    low_high = {"low": (F.min("component"), "min"), "high": (F.max("component"), "max")}
+    rest = stash(group_back(named, ["key"], low_high, F.col("id"), having=F.expr("low < high")).drop("low", "high"), "rest")
+    x, y = rest.alias("x"), rest.alias("y")
+    both = x.join(y, F.expr(f"x.key = y.key AND x.id < y.id AND x.component <> y.component AND {close('x', 'y')}"))
+    pairs = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return components(found.unionByName(verify(stash(pairs, "pairs"))))

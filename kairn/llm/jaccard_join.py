@@ -27,12 +27,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .graph import components
-from .util import core, group_back, stash
+from .graph import connect
+from .util import core, group_back, packed, stash
 
 #: Slots of the frequency sketch, and slots in one row of it.
 SKETCH, ROW = 1 << 18, 1 << 12
@@ -211,13 +211,9 @@ def _verified(percent: int):
     return run
 
 
-def _close(x: str, y: str, percent: int) -> Column:
-    """Whether sizes and bitmaps leave room for a link."""
-    apart = " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in _BITS)
-    return F.expr(
-        f"100 * least({x}.size, {y}.size) >= {percent} * greatest({x}.size, {y}.size) AND "
-        f"({apart}) * {100 + percent} <= ({x}.size + {y}.size) * {100 - percent}"
-    )
+def _apart(x: str, y: str) -> str:
+    """A lower bound of the symmetric difference, from the parity bitmaps."""
+    return " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in _BITS)
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
@@ -265,42 +261,25 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
         return joined.select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a long, b long")
 
     links = with_class.where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
-    found = None
-    for last in (False, True):
-        if not last:
-            hub = F.struct(F.xxhash64("id", "key").alias("o"), "id", "size", *_BITS)
-            near = group_back(listed, ["key"], {"hub": (F.min(hub), "min")}, F.col("id"))
-            near = near.where("id <> hub.id").select("key", F.struct("id", "size", *_BITS).alias("x"), F.col("hub").alias("y")).where(_close("x", "y", percent))
-            apart = F.expr(" + ".join(f"bit_count(x.{b} ^ y.{b})" for b in _BITS))
-            best = near.groupBy(F.col("x.id").alias("a")).agg(F.min(F.struct(apart.alias("d"), F.col("y.id").alias("b"))).alias("m"))
-            pairs = best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
-        else:
-            rest = _apart(listed, found)
-            x, y = rest.alias("x"), rest.alias("y")
-            both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _close("x", "y", percent))
-            pairs = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        links = stash(links.unionByName(verify(stash(pairs, "pairs"))), "links")
-        found = components(links)
+
+    def close(x: str, y: str) -> str:
+        return (
+            f"100 * least({x}.size, {y}.size) >= {percent} * greatest({x}.size, {y}.size) AND "
+            f"({_apart(x, y)}) * {100 + percent} <= ({x}.size + {y}.size) * {100 - percent}"
+        )
+
+    found = connect(listed, ["size", *_BITS], close, _apart, verify, links)
     ids = found.alias("f")
     return sets.alias("s").join(ids, F.col("s.doc_id") == F.col("f.node"), "left").select(
         "s.doc_id", F.col("s.size").alias("n_shingles"), F.coalesce("f.component", "s.doc_id").alias("component_id")
     )
 
 
-def _apart(listed: DataFrame, found: DataFrame) -> DataFrame:
-    """The lists, without those whose sets are all in one component already; with the component."""
-    named = listed.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    low_high = {"low": (F.min("component"), "min"), "high": (F.max("component"), "max")}
-    return group_back(named, ["key"], low_high, F.col("id"), having=F.expr("low < high")).drop("low", "high")
-
-
 def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each linked group, the one with the smallest doc_id.
 
     All rows of the document that stays are kept, and so are documents without an id or without words.
     """
     component = jaccard_components(docs, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    from .util import packed
-
     kept = packed(docs).join(component, F.col("doc_id") == F.col("_gone"), "left_anti")
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

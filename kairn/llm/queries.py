@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .langid import language_id
 from .license_scan import license_scan
+from .line_dedup import line_dedup
 from .mix import mix_sources
 from .packing import pack
 from .pii import pseudonyms
@@ -25,6 +26,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_docs(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_docs(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
@@ -69,7 +74,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_exact_dedup, op4_language_id, op5_license_scan, op6_jaccard_join, op7_pseudonyms, op8_curve_packing, op9_substring_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_exact_dedup, op4_language_id, op5_license_scan, op6_jaccard_join, op7_pseudonyms, op8_curve_packing, op9_substring_dedup, op10_quality_rules)}
 
 
 #: Text without white space, as DuckDB reads it.

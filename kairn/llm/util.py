@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +89,53 @@ def group_back(
         total = total.where(having)
     back = total.withColumn("_salt", F.explode("_salts")).drop("_salts")
     return salted.join(back, [*keys, "_salt"]).drop("_salt")
+
+
+#: Bits of a sieve, and in one row of it while it is built.
+SIEVE_BITS, SIEVE_ROW = 1 << 25, 1 << 19
+
+
+def sieve(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a long may be among keys (one column of longs), from a bit array of fixed size.
+
+    It never says no to a key that is there. What passes is joined with the keys afterwards, so wrong
+    yeses cost time only; it keeps rows from being shuffled that the join would drop. The bits, 4 MB
+    however many keys there are, are the only thing that reaches the driver and the executors.
+    """
+    name = keys.columns[0]
+    kind = "slot int, part int, bits binary"
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(SIEVE_BITS // 8, np.uint8)
+        for batch in batches:
+            for place in _places(batch.column(name).drop_null().to_numpy()):
+                np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        rows = bits.reshape(-1, SIEVE_ROW // 8)
+        used = np.flatnonzero(rows.any(axis=1))
+        part = [TaskContext.get().partitionId() % 256] * len(used)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(part, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["slot", "part", "bits"])
+
+    rows = keys.mapInArrow(mark, kind).groupBy("slot", "part").applyInArrow(_either, kind).groupBy("slot").applyInArrow(_either, kind).collect()
+    bits = np.zeros((SIEVE_BITS // SIEVE_ROW, SIEVE_ROW // 8), np.uint8)
+    for r in rows:
+        bits[r["slot"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    @F.pandas_udf("boolean")
+    def passes(key: pd.Series) -> pd.Series:
+        table, out = shared.value, np.ones(len(key), bool)
+        for place in _places(key.to_numpy(np.int64)):
+            out &= (table[place >> 3] >> (place & 7)) & 1 == 1
+        return pd.Series(out)
+
+    return passes
+
+
+def _places(keys: np.ndarray) -> list[np.ndarray]:
+    k = keys.astype(np.int64, copy=False).view(np.uint64)
+    return [((k * np.uint64(odd)) >> np.uint64(64 - 25)).astype(np.int64) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+
+def _either(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    bits = np.bitwise_or.reduce([np.frombuffer(b.as_py(), np.uint8) for b in table.column("bits")])
+    return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
