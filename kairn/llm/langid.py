@@ -22,7 +22,8 @@ WINDOW, HIDDEN, BATCH = 128, 8, 2048
 SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 6
 #: More languages than this are refused, so the sample is bounded.
 MAX_LANGUAGES = 500
-EPOCHS, STEP, RATE = 3, 256, 0.02
+#: Updates, windows in each, and the first learning rate.
+UPDATES, STEP, RATE = 200, 256, 0.02
 UND = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -101,18 +102,15 @@ class GatedNetwork:
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
-        steps = 0
-        for epoch in range(EPOCHS):
-            order = rng.permutation(len(x))
-            for a in range(0, len(x), STEP):
-                own = order[a : a + STEP]
-                g, _ = self.gradient(np.ascontiguousarray(x[own].T), np.ascontiguousarray(mask[own].T), y[own])
-                steps += 1
-                rate = RATE * 0.5**epoch * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
-                for k, w in self.p.items():
-                    m[k] += 0.1 * (g[k] - m[k])
-                    v[k] += 0.001 * (g[k] * g[k] - v[k])
-                    w -= rate * m[k] / (np.sqrt(v[k]) + 1e-8)
+        order = np.concatenate([rng.permutation(len(x)) for _ in range(-(-UPDATES * STEP // len(x)))])
+        for step in range(UPDATES):
+            own = order[step * STEP : (step + 1) * STEP]
+            g, _ = self.gradient(np.ascontiguousarray(x[own].T), np.ascontiguousarray(mask[own].T), y[own])
+            rate = RATE * (1 - step / UPDATES) * np.sqrt(1 - 0.999 ** (step + 1)) / (1 - 0.9 ** (step + 1))
+            for k, w in self.p.items():
+                m[k] += 0.1 * (g[k] - m[k])
+                v[k] += 0.001 * (g[k] * g[k] - v[k])
+                w -= rate * m[k] / (np.sqrt(v[k]) + 1e-8)
 
     def position_scores(self, x: np.ndarray) -> np.ndarray:
         """Scores before softmax for every position. x: bytes (time, rows)."""
@@ -283,7 +281,7 @@ def language_id(docs: DataFrame, net: GatedNetwork | None = None) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_known_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_known_languages(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """docs without those whose language isn't recognised: `und`, or a score under `least`."""
     out = predict(packed(docs).select("text", "row"), train(docs))
     out = out.where((F.col("lang_pred") != UND) & (F.col("score") >= least))
