@@ -11,11 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
 from ..functions import analysis as A
 from ..functions import generators as G
 from ..functions import metric as M
 from ..operators import leader as L
 from ..operators import tiles as TL
+from ..operators.cluster import cluster, fit
+from ..operators.embed import embed, tune
 from ..operators.knn import Search, knn, knn_brute, padded
 from ..sources.tables import column_frames, first_frames, vector_frames
 
@@ -458,3 +461,98 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leader_counts(spark, sf_dir)
 
 
+
+
+# The ordered state machine, in its modes (not SQL: which anchor takes a frame depends on the probe order)
+
+
+def _mode(**options) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        member = fit(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=5000, **options))
+        return rounded(member, "dist").select("frame_id", "cluster_id", "dist", "is_new", F.size("evals").alias("n_evals"), "pruned")
+
+    return run
+
+
+_MODES: dict[str, dict] = {
+    "default": {}, "te4": {"te4": True}, "te5": {"te4": True, "te5": True}, "tm": {"tm": 0.5}, "gprob": {"gprob": True}, "pred": {"pred": (2, 1000, 2)}, "predf": {"predf": (2, 200, 2)},
+    "entropy": {"entropy": True, "entropy_gate": 1.0, "entropy_first_gate": 1.0}, "entropy_fast": {"entropy": True, "entropy_fast": True, "entropy_gate": 1.0},
+    "entropy_leader": {"entropy": True, "entropy_leader": True}, "soft_bayesian": {"gprob": True, "soft_bayesian": True}, "sparse_dcc": {"sparse_dcc": True, "sparse_dcc_extra_evals": 2},
+}
+QUERIES |= {f"stepper_{name}": _mode(**options) for name, options in _MODES.items()}
+
+
+@query(f"{_LEAD} SELECT cluster_id, anchor_id FROM anc")
+def stepper_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """The anchors of the state machine are those of the blockwise leader, in any mode."""
+    member = fit(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=5000, gprob=True, te4=True, sparse_dcc=True))
+    return member.where("is_new").select("cluster_id", F.col("frame_id").alias("anchor_id"))
+
+
+@query()
+def stepper_discard(spark: SparkSession, d: str) -> DataFrame:
+    return fit(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=20, maxcl_strategy="discard")).select("frame_id", "cluster_id", "uid")
+
+
+@query()
+def stepper_merge(spark: SparkSession, d: str) -> DataFrame:
+    return fit(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=20, maxcl_strategy="merge")).select("frame_id", "cluster_id", "uid")
+
+
+@query()
+def stepper_by_stream(spark: SparkSession, d: str) -> DataFrame:
+    """One stream for each user of events, values as one-dimensional frames, in parallel."""
+    e = column_frames(table(spark, d, "events"), F.col("event_id"), ["value"], ["user_id"])
+    return fit(e, EngineConfig(rlim=10.0, maxim=2**62), ["user_id"]).select("user_id", "frame_id", "cluster_id", F.round("dist", 6).alias("dist"))
+
+
+@query()
+def probe_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return A.probe_statistics(fit(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=5000)), RLIM)[0]
+
+
+@query()
+def failed_probes(spark: SparkSession, d: str) -> DataFrame:
+    return A.probe_statistics(fit(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=5000)), RLIM)[1]
+
+
+@query()
+def run_telemetry(spark: SparkSession, d: str) -> DataFrame:
+    return cluster(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=5000, pred=(2, 1000, 2))).telemetry()
+
+
+def _tiled(**options) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        member = TL.fit_tiles(frames(spark, d), EngineConfig(rlim=0.7, maxcl=5000, **options), TL.grid_tiles(8, 8, "2x2"))
+        return member.select("frame_id", "tile_id", "cluster_id", F.round("dist", 6).alias("dist"))
+
+    return run
+
+
+QUERIES |= {"tile_leader": _tiled(), "tile_joint": _tiled(pass2=True), "tile_xtile": _tiled(xtile=2), "tile_xtile_cpt": _tiled(xtile=1, xtile_decay=0.99), "tile_pred": _tiled(pred=(2, 500, 2))}
+
+
+@query()
+def embedding_from_distances(spark: SparkSession, d: str) -> DataFrame:
+    dist = A.anchor_distances(_nearest(spark, d)[1]).where("i < 20 AND j < 20")
+    return embed(dist, 3, steps=2000, restarts=2)
+
+
+@query()
+def tune_radius(spark: SparkSession, d: str) -> DataFrame:
+    return tune(frames(spark, d), side=8, rows=300)
+
+
+@query()
+def gen_walk(spark: SparkSession, d: str) -> DataFrame:
+    return _columns(G.walk(spark, 500, 2, seed=1), 2)
+
+
+@query()
+def gen_star_shuffled(spark: SparkSession, d: str) -> DataFrame:
+    return _columns(G.shuffled(G.noisy(G.star(spark, 600, 30), 0.02, 5), 7), 3)
+
+
+@query()
+def gen_bouncing_balls(spark: SparkSession, d: str) -> DataFrame:
+    return G.bouncing_balls(spark, 50, 16, 2, collide=True).select("frame_id", F.round(F.aggregate("data", F.lit(0.0), lambda s, v: s + v), 6).alias("flux"))
