@@ -13,8 +13,8 @@ elements share ceil(t * m) of them.
   lengths for the heavy sets, from the histogram of sizes.
 
 Keys that occur once go first. Pairs in a list are checked by size and by 256-bit parity bitmaps
-(their distance bounds the symmetric difference from below, so no link is lost), then exactly on the
-sets. Only connectivity is wanted, so a first round links every set to the nearest of its keys' hubs;
+(their distance bounds the symmetric difference from below, so no link is lost), then by bitmaps as
+long as the sets, then exactly on the sets. Only connectivity is wanted, so a first round links every set to the nearest of its keys' hubs;
 pairs already in one component need no check, and a second round checks all other pairs.
 """
 
@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import connect
-from .util import core, group_back, packed, stash
+from .util import Sieve, core, group_back, packed, stash
 
 #: Slots of the frequency sketch, and slots in one row of it.
-SKETCH, ROW = 1 << 18, 1 << 12
+SKETCH, ROW = 1 << 21, 1 << 14
 MAP_WORDS = 4
 #: Light sets are at most this large: beyond it, subsets outnumber prefix elements by far.
 MOST_LIGHT = 24
@@ -65,12 +65,12 @@ def shingle_sets(t: K.Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, sizes = np.zeros(SKETCH, np.int64), np.zeros(ROW, np.int64)
+        counts, sizes = np.zeros(SKETCH, np.int32), np.zeros(ROW, np.int32)
         for batch in batches:
             for part in K.chunks(batch):
                 value, at = shingle_sets(K.Texts.of(part.column("text")), n)
-                counts += np.bincount((value >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
-                sizes += np.bincount(np.minimum(np.diff(at), ROW - 1), minlength=ROW)
+                np.add.at(counts, (value >> np.uint64(43)).astype(np.int64), 1)
+                sizes += np.bincount(np.minimum(np.diff(at), ROW - 1), minlength=ROW).astype(np.int32)
         rows = [*counts.reshape(-1, ROW), sizes]
         part = pa.array([TaskContext.get().partitionId() % 256] * len(rows), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), part, pa.array([r.tobytes() for r in rows])], names=["slot", "part", "counts"])
@@ -79,7 +79,8 @@ def _sketch(n: int):
 
 
 def _sum_sketch(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(b.as_py(), np.int64) for b in table.column("counts"))
+    width = [np.frombuffer(b.as_py(), np.int32 if len(b.as_py()) == 4 * ROW else np.int64) for b in table.column("counts")]
+    total = np.sum(width, axis=0, dtype=np.int64)
     return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "counts": pa.array([total.tobytes()])})
 
 
@@ -157,6 +158,34 @@ def _digest(value: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 _BITS = [f"b{j}" for j in range(MAP_WORDS)]
 
 
+def _long_bitmaps(value: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A parity bitmap of each set with as many bits as elements or more: a power of two, 256 at least."""
+    place, out = K.mix(value ^ np.uint64(0x165667B19E3779F9)).astype(np.int64), []
+    for a, b in zip(at, at[1:], strict=False):
+        bits = 1 << max(8, int(b - a - 1).bit_length())
+        out.append(np.packbits(np.bincount(place[a:b] & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes())
+    return out
+
+
+def _bitmaps_close(percent: int):
+    """Pairs (a, b, na, nb, ma, mb) whose bitmaps leave room for a link; the longer bitmap is folded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (n, m, x, y) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("na", "nb", "ma", "mb")], strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                if int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (n + m) * (100 - percent):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
 def _class_rows(n: int, percent: int, levels: np.ndarray | None, limit: int):
     """doc_id, text -> doc_id, size, k1, k2, bitmap, keys."""
 
@@ -165,7 +194,7 @@ def _class_rows(n: int, percent: int, levels: np.ndarray | None, limit: int):
             for part in K.chunks(batch):
                 value, at = shingle_sets(K.Texts.of(part.column("text")), n)
                 keys = []
-                order_key = levels[(value >> np.uint64(46)).astype(np.int64)]
+                order_key = levels[(value >> np.uint64(43)).astype(np.int64)]
                 for a, b in zip(at, at[1:], strict=False):
                     own, size = value[a:b], int(b - a)
                     mine: list[int] = []
@@ -176,8 +205,8 @@ def _class_rows(n: int, percent: int, levels: np.ndarray | None, limit: int):
                         mine += own[np.lexsort((own, order_key[a:b]))[:k]].view(np.int64).tolist()
                     keys.append(mine)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(at), pa.int64()), *[pa.array(x) for x in _digest(value, at)], pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "size", "k1", "k2", *_BITS, "keys"],
+                    [part.column("doc_id"), pa.array(np.diff(at), pa.int64()), *[pa.array(x) for x in _digest(value, at)], pa.array(keys, pa.list_(pa.int64())), pa.array(_long_bitmaps(value, at), pa.binary())],
+                    names=["doc_id", "size", "k1", "k2", *_BITS, "keys", "bitmap"],
                 )
 
     return run
@@ -229,7 +258,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     texts = core(docs, "doc_id", "text")
     levels, sizes = corpus_sketch(texts.select("text"), shingle)
     limit = boundary(sizes, percent, float((levels > 0).mean()))
-    schema = f"doc_id long, size long, k1 long, k2 long, {', '.join(f'{b} long' for b in _BITS)}, keys array<long>"
+    schema = f"doc_id long, size long, k1 long, k2 long, {', '.join(f'{b} long' for b in _BITS)}, keys array<long>, bitmap binary"
     sets = stash(texts.mapInArrow(_class_rows(shingle, percent, levels, limit), schema), "sets")
     known = sets.where("size > 0 AND doc_id IS NOT NULL")
 
@@ -242,23 +271,28 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     # a document that is repeated with other texts can stand for several sets: the set's digest is part of the class
     first = with_class.where("doc_id = class").select("doc_id", "size", "k1", "k2").distinct()
     classes = known.join(first, ["doc_id", "size", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"])
-    rows = classes.select(F.struct("doc_id", "k1").alias("sid"), F.explode("keys").alias("key"))
+    rows = classes.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     often = stash(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    listed = rows.join(often, "key").distinct()
-    facts = classes.select(F.struct("doc_id", "k1").alias("sid"), "size", *_BITS)
-    listed = stash(listed.join(facts, "sid").select("key", F.col("sid.doc_id").alias("id"), "sid", "size", *_BITS), "lists")
-    involved = listed.select("id").distinct()
-    full = stash(
-        texts.join(involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        .mapInArrow(_full_sets(shingle), "id long, elements binary").distinct(),
-        "elements",
-    )
+    may = Sieve(often)
+    facts = classes.select(F.col("doc_id").alias("id"), "size", *_BITS)
+    listed = rows.where(may(F.col("key"))).join(often, "key").distinct()
+    listed = stash(listed.join(facts, "id").select("key", "id", "size", *_BITS), "lists")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(full.select(F.col("id").alias("a"), F.col("elements").alias("sa")), "a").join(
-            full.select(F.col("id").alias("b"), F.col("elements").alias("sb")), "b"
-        )
-        return joined.select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a long, b long")
+        """The pairs that link: by long bitmaps first, then by full sets.
+
+        The sets are made again from the texts of just the documents that are left.
+        """
+        one, two = (classes.select(F.col("doc_id").alias(x), F.col("size").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}")) for x in "ab")
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ma", "mb")
+        pairs = stash(both.mapInArrow(_bitmaps_close(percent), "a long, b long").distinct(), "close")
+        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        wanted = Sieve(ids)
+        own = texts.where(wanted(F.coalesce("doc_id", F.lit(0)))).join(ids, "doc_id", "left_semi")
+        full = stash(own.mapInArrow(_full_sets(shingle), "id long, elements binary"), "elements")
+        one, two = (full.select(F.col("id").alias(x), F.col("elements").alias(f"s{x}")) for x in "ab")
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
+        return both.mapInArrow(_verified(percent), "a long, b long").distinct()
 
     links = with_class.where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
 

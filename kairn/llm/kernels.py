@@ -20,7 +20,7 @@ _BASE_INV = pow(_BASE, -1, 2**64)
 _WORD_BASE = 0xD6E8FEB86659FD93
 _WORD_BASE_INV = pow(_WORD_BASE, -1, 2**64)
 #: Texts of this many bytes are worked on together; a longer text is worked on alone and whole.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[32, 9, 10, 11, 12, 13]] = False

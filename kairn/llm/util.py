@@ -95,40 +95,46 @@ def group_back(
 SIEVE_BITS, SIEVE_ROW = 1 << 25, 1 << 19
 
 
-def sieve(keys: DataFrame) -> Callable[[Column], Column]:
-    """A test whether a long may be among keys (one column of longs), from a bit array of fixed size.
+class Sieve:
+    """A test whether longs may be among some keys, from a bit array of fixed size.
 
     It never says no to a key that is there. What passes is joined with the keys afterwards, so wrong
     yeses cost time only; it keeps rows from being shuffled that the join would drop. The bits, 4 MB
     however many keys there are, are the only thing that reaches the driver and the executors.
     """
-    name = keys.columns[0]
-    kind = "slot int, part int, bits binary"
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(SIEVE_BITS // 8, np.uint8)
-        for batch in batches:
-            for place in _places(batch.column(name).drop_null().to_numpy()):
-                np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
-        rows = bits.reshape(-1, SIEVE_ROW // 8)
-        used = np.flatnonzero(rows.any(axis=1))
-        part = [TaskContext.get().partitionId() % 256] * len(used)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(part, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["slot", "part", "bits"])
-
-    rows = keys.mapInArrow(mark, kind).groupBy("slot", "part").applyInArrow(_either, kind).groupBy("slot").applyInArrow(_either, kind).collect()
-    bits = np.zeros((SIEVE_BITS // SIEVE_ROW, SIEVE_ROW // 8), np.uint8)
-    for r in rows:
-        bits[r["slot"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(bits.reshape(-1))
-
-    @F.pandas_udf("boolean")
-    def passes(key: pd.Series) -> pd.Series:
-        table, out = shared.value, np.ones(len(key), bool)
-        for place in _places(key.to_numpy(np.int64)):
+
+    def __init__(self, keys: DataFrame):
+        name = keys.columns[0]
+        kind = "slot int, part int, bits binary"
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(SIEVE_BITS // 8, np.uint8)
+            for batch in batches:
+                for place in _places(batch.column(name).drop_null().to_numpy()):
+                    np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
+            rows = bits.reshape(-1, SIEVE_ROW // 8)
+            used = np.flatnonzero(rows.any(axis=1))
+            part = [TaskContext.get().partitionId() % 256] * len(used)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(part, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["slot", "part", "bits"])
+
+        rows = keys.mapInArrow(mark, kind).groupBy("slot", "part").applyInArrow(_either, kind).groupBy("slot").applyInArrow(_either, kind).collect()
+        bits = np.zeros((SIEVE_BITS // SIEVE_ROW, SIEVE_ROW // 8), np.uint8)
+        for r in rows:
+            bits[r["slot"]] = np.frombuffer(r["bits"], np.uint8)
+        self._bits = keys.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        table, out = self._bits.value, np.ones(len(keys), bool)
+        for place in _places(keys):
             out &= (table[place >> 3] >> (place & 7)) & 1 == 1
-        return pd.Series(out)
+        return out
+
+    def __call__(self, key: Column) -> Column:
+        @F.pandas_udf("boolean")
+        def passes(values: pd.Series) -> pd.Series:
+            return pd.Series(self.has(values.to_numpy(np.int64)))
 
-    return passes
+        return passes(key)
 
 
 def _places(keys: np.ndarray) -> list[np.ndarray]:
@@ -139,3 +145,48 @@ def _places(keys: np.ndarray) -> list[np.ndarray]:
 def _either(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     bits = np.bitwise_or.reduce([np.frombuffer(b.as_py(), np.uint8) for b in table.column("bits")])
     return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+#: Slots of a Repeats filter, and in one row of it.
+REPEAT_SLOTS, REPEAT_ROW = 1 << 22, 1 << 14
+
+
+class Repeats:
+    """A test whether a 64-bit hash may occur twice or more in a table, from counts of fixed size.
+
+    It never says no to a hash that occurs twice. hashes: from a batch to an array of hashes.
+    """
+
+    def __init__(self, df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray]):
+        kind = "slot int, part int, bits binary"
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(REPEAT_SLOTS, np.uint8)
+            for batch in batches:
+                slot, n = np.unique(self._slots(hashes(batch)), return_counts=True)
+                seen[slot] = np.minimum(2, seen[slot] + np.minimum(2, n))
+            rows = seen.reshape(-1, REPEAT_ROW)
+            used = np.flatnonzero(rows.any(axis=1))
+            part = [TaskContext.get().partitionId() % 256] * len(used)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(part, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["slot", "part", "bits"])
+
+        rows = df.mapInArrow(count, kind).groupBy("slot", "part").applyInArrow(_capped_sum, kind).groupBy("slot").applyInArrow(_capped_sum, kind).collect()
+        twice = np.zeros((REPEAT_SLOTS // REPEAT_ROW, REPEAT_ROW), bool)
+        for r in rows:
+            twice[r["slot"]] = np.frombuffer(r["bits"], np.uint8) > 1
+        self._twice = df.sparkSession.sparkContext.broadcast(np.packbits(twice.reshape(-1), bitorder="little"))
+
+    @staticmethod
+    def _slots(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(42)).astype(np.int64)
+
+    def may(self, hashes: np.ndarray) -> np.ndarray:
+        slot = self._slots(hashes)
+        return (self._twice.value[slot >> 3] >> (slot & 7)) & 1 == 1
+
+
+def _capped_sum(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    total = np.zeros(REPEAT_ROW, np.uint8)
+    for b in table.column("bits"):
+        total = np.minimum(2, total + np.frombuffer(b.as_py(), np.uint8))
+    return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
