@@ -30,9 +30,14 @@ def spiral(spark: SparkSession, n: int, loops: float = 2, dims: int = 2) -> Data
     x, y = t * F.cos(angle), t * F.sin(angle)
     if dims == 2:
         return _indexed(spark, n, x, y)
-    a, b = math.radians(60), math.radians(30)
-    y2, z2 = y * math.cos(a) - t * math.sin(a), y * math.sin(a) + t * math.cos(a)
-    return _indexed(spark, n, x * math.cos(b) + z2 * math.sin(b), y2, z2 * math.cos(b) - x * math.sin(b))
+    # a thin cone along z from -1 to 1, turned about y and then about x
+    along = 2 * t - 1
+    x, y = 0.15 * x, 0.15 * y
+    about_y, about_x = math.radians(60), math.radians(30)
+    side = along * math.cos(about_y) - x * math.sin(about_y)
+    return _indexed(
+        spark, n, x * math.cos(about_y) + along * math.sin(about_y), y * math.cos(about_x) - side * math.sin(about_x), y * math.sin(about_x) + side * math.cos(about_x)
+    )
 
 
 def random_ball(spark: SparkSession, n: int, dims: int, seed: int) -> DataFrame:
@@ -70,31 +75,39 @@ def fibonacci_sphere(spark: SparkSession, n: int) -> DataFrame:
     return _indexed(spark, n, F.sqrt(1 - z * z) * F.cos(angle), F.sqrt(1 - z * z) * F.sin(angle), z)
 
 
-def _direction(k: Column, n: int) -> tuple[Column, Column, Column]:
-    z = 1 - (2 * k + 1) / F.lit(float(n))
-    angle = k * (math.pi * (3 - math.sqrt(5)))
-    return F.sqrt(1 - z * z) * F.cos(angle), F.sqrt(1 - z * z) * F.sin(angle), z
-
-
 def star(spark: SparkSession, n: int, nodes: int = 20) -> DataFrame:
-    """Frames cycle through nodes: the origin, then Fibonacci directions at radii from 1 to 1.5."""
-    k = F.col("frame_id") % nodes
-    radius = F.when(k == 0, F.lit(0.0)).otherwise(1 + 0.5 * k / nodes)
-    return _indexed(spark, n, *[radius * c for c in _direction(k.cast("double"), nodes)])
+    """Frames cycle through nodes: the origin, then golden-angle directions at radii 1.5, 2, 2.5, ..."""
+    k = (F.col("frame_id") % nodes).cast("double")
+    z = 1 - 2 * k / nodes
+    flat, turn = F.sqrt(1 - z * z), k * (math.pi * (1 + math.sqrt(5)))
+    radius = F.when(k == 0, F.lit(0.0)).otherwise(1 + 0.5 * k)
+    return _indexed(spark, n, radius * flat * F.cos(turn), radius * flat * F.sin(turn), radius * z)
 
 
-def concentric(spark: SparkSession, n: int, shells: int = 3, nodes: int = 10) -> DataFrame:
-    """Frames cycle through nodes on shells of radius 1.5, 2.5, ..."""
-    k = F.col("frame_id") % (shells * nodes)
-    radius = 1.5 + F.floor(k / nodes)
-    return _indexed(spark, n, *[radius * c for c in _direction((k % nodes).cast("double"), nodes)])
+def concentric(spark: SparkSession, n: int, shells: int = 5, nodes: int = 10) -> DataFrame:
+    """Frames cycle through the origin and rings of `nodes` points at radii 1.5, 2.5, ... in the plane z = 0."""
+    k = F.col("frame_id") % (shells * nodes + 1) - 1
+    radius = F.when(k < 0, F.lit(0.0)).otherwise(1.5 + F.floor(k / nodes))
+    turn = F.lit(TAU) * F.pmod(k, F.lit(nodes)) / nodes
+    return _indexed(spark, n, radius * F.cos(turn), radius * F.sin(turn), F.lit(0.0))
 
 
 def tree(spark: SparkSession, n: int, depth: int = 5, every: int = 100) -> DataFrame:
-    """Leaves of a binary tree, +-2 in each of `depth` dimensions; every 100th frame stops half way (0)."""
+    """Leaves of a binary tree in turn, a bit of the leaf in each dimension as -2 or 2.
+
+    Every 100th frame is an inner node, these also in turn: the bits of its path, -1 in the next
+    dimension, 0 in the rest.
+    """
     i = F.col("frame_id")
-    level = F.when(i % every == every - 1, F.pmod(F.floor(i / every), F.lit(depth))).otherwise(depth)
-    return _indexed(spark, n, *[F.when(F.lit(k) < level, 4 * (F.shiftright(i, k) % 2) - 2).otherwise(0) for k in range(depth)])
+    node = F.floor(i / every) % (2**depth - 1) + 1
+    level = F.floor(F.log2(node.cast("double")) + 1e-9)
+    inner = i % every == 0
+    bits, value = F.when(inner, level).otherwise(depth), F.when(inner, node - F.pow(F.lit(2), level).cast("long")).otherwise(i % 2**depth)
+    cells = []
+    for k in range(depth):
+        bit = F.floor(value / F.pow(F.lit(2.0), bits - 1 - k)) % 2
+        cells.append(F.when(F.lit(k) < bits, 4 * bit - 2).when(F.lit(k) == bits, -1).otherwise(0))
+    return _indexed(spark, n, *cells)
 
 
 def lissajous(spark: SparkSession, n: int, a: int = 3, b: int = 2) -> DataFrame:

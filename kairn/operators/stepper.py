@@ -220,8 +220,8 @@ class FrameStepper:
                 prior = prior * self.boost
                 prior = prior / prior.sum() if prior.sum() > 0 else self.prob[: self.k].copy()
             active, post = np.ones(self.k, bool), prior.copy()
-            listed, order = self._candidates(), np.lexsort((np.arange(self.k), -prior))
-            out.predicted, at = bool(listed), 0
+            listed, left = self._candidates(), prior.copy()
+            out.predicted = bool(listed)
             while active.any():
                 listed = [j for j in listed if active[j]]
                 if listed:
@@ -232,9 +232,9 @@ class FrameStepper:
                     on = np.flatnonzero(active)
                     t = int(on[np.argmax(post[on])])
                 else:
-                    while not active[order[at]]:
-                        at += 1
-                    t = int(order[at])
+                    # the static order, best first and ties to the lowest number, without sorting it all
+                    left[~active] = -1
+                    t = int(left.argmax())
                 d = self._distance(x, self.anchors[t], "dfc")
                 measured.append((t, d))
                 self.visits[t] += 1

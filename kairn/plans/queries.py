@@ -556,3 +556,31 @@ def gen_star_shuffled(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def gen_bouncing_balls(spark: SparkSession, d: str) -> DataFrame:
     return G.bouncing_balls(spark, 50, 16, 2, collide=True).select("frame_id", F.round(F.aggregate("data", F.lit(0.0), lambda s, v: s + v), 6).alias("flux"))
+
+
+# The published patterns: clusters and sample distances for each frame
+
+#: name -> (frames of the pattern, radius)
+PATTERNS: dict[str, tuple[Callable[[SparkSession, int], DataFrame], float]] = {
+    "2Dspiral": (lambda s, n: G.spiral(s, n), 0.10),
+    "2Dcircle_shuffle": (lambda s, n: G.shuffled(G.circle(s, n), 1), 0.10),
+    "2Dspiral_shuffle": (lambda s, n: G.shuffled(G.spiral(s, n), 1), 0.10),
+    "2DcircleP10n": (lambda s, n: G.noisy(G.circle(s, n, 10), 0.04, 1), 0.10),
+    "2Drand": (lambda s, n: G.random_ball(s, n, 2, 1), 0.10),
+    "3Dspiral": (lambda s, n: G.spiral(s, n, dims=3), 0.02),
+    "3Dstar": (lambda s, n: G.shuffled(G.noisy(G.star(s, n, 30), 0.02, 1), 1), 0.10),
+    "3Drand": (lambda s, n: G.random_ball(s, n, 3, 1), 0.20),
+}
+
+
+def pattern(name: str, n: int = 20_000) -> Query:
+    make, rlim = PATTERNS[name]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = cluster(make(spark, n), EngineConfig(rlim=rlim, maxcl=2500)).telemetry()
+        return t.select("frames", F.col("clusters_made").alias("clusters"), F.round(F.col("sample_distances") / F.col("frames"), 4).alias("distances_per_frame"))
+
+    return run
+
+
+QUERIES |= {f"pattern_{name}": pattern(name) for name in PATTERNS}
