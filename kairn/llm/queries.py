@@ -80,7 +80,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Text without white space, as DuckDB reads it.
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+              ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+        SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY 1""",
+    "op9_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+        v AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d),
+        x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM v),
+        o AS (SELECT h, min(doc_id) AS o FROM x GROUP BY 1),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM x JOIN o USING (h) WHERE o < doc_id),
+        p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM p ANTI JOIN c USING (doc_id, k) GROUP BY 1)
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
     "op3_exact_dedup": f"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, {_NORM} AS norm FROM documents),
         g AS (SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,
