@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .util import core, group_back, stash
+from .util import Repeats, core, group_back, stash
 
 WINDOW, GRAM = 50, 8
 #: Words in a shard at least, unless the partition ends before.
@@ -203,18 +203,35 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mz, sid, words, owner -> a row for each window: mz, sid, idx, words, owner."""
-    for batch in batches:
-        rows = []
-        for mz, sid, words, owner in zip(*[batch.column(c).to_pylist() for c in ("mz", "sid", "words", "owner")], strict=True):
-            split = words.split(" ")
-            rows += [(mz, sid, i, " ".join(split[i : i + WINDOW]), owner) for i in range(len(split) - WINDOW + 1)]
-            if len(rows) > 20_000:
+def _window_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of the stretches in a batch: row, number in the stretch, hash."""
+    t = K.Texts.of(batch.column("words"))
+    starts, ends, at = t.words()
+    h = K.ngram_hash(t.spans_hash(starts, ends), WINDOW) if len(starts) else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(t.n), np.diff(at))[: len(h)]
+    inside = np.arange(len(h)) + WINDOW <= at[1:][row]
+    row = row[inside]
+    return row, np.flatnonzero(inside) - at[:-1][row], h[inside]
+
+
+def _windows(repeats: Repeats):
+    """mz, sid, words, owner -> mz, sid, idx, words, owner of each window that may stand in two stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, idx, h = _window_hashes(batch)
+            may = repeats.may(h)
+            mz, sid, words, owner = (batch.column(c).to_pylist() for c in ("mz", "sid", "words", "owner"))
+            rows = []
+            for r, i in zip(row[may].tolist(), idx[may].tolist(), strict=True):
+                rows.append((mz[r], sid[r], i, " ".join(words[r].split(" ")[i : i + WINDOW]), owner[r]))
+                if len(rows) > 20_000:
+                    yield _window_batch(rows)
+                    rows = []
+            if rows:
                 yield _window_batch(rows)
-                rows = []
-        if rows:
-            yield _window_batch(rows)
+
+    return run
 
 
 def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -316,14 +333,16 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     any_hot = not hot.isEmpty()
     index = distinct
     if any_hot:
+        crowded = distinct.join(hot, "mz", "left_semi")
+        repeats = Repeats(crowded, lambda batch: _window_hashes(batch)[2])
         links = stash(
-            distinct.join(hot, "mz", "left_semi")
-            .mapInArrow(_windows, "mz long, sid long, idx int, words string, owner long")
+            crowded.mapInArrow(_windows(repeats), "mz long, sid long, idx int, words string, owner long")
             .withColumns({"wmz": F.xxhash64("words", F.lit(1)), "wsid": F.xxhash64("words", F.lit(2))}),
             "windows",
         )
-        single = links.groupBy(F.col("wmz").alias("mz"), F.col("wsid").alias("sid"), "words").agg(F.min("owner").alias("owner"))
-        index = distinct.join(hot, "mz", "left_anti").unionByName(single)
+        # a window that stands in one stretch alone belongs to that stretch's owner
+        single = links.groupBy(F.col("wmz").alias("mz"), F.col("wsid").alias("sid"), "words").agg(F.min("owner").alias("owner"), F.count("*").alias("n"))
+        index = distinct.join(hot, "mz", "left_anti").unionByName(single.where("n > 1").drop("n"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     owners = (
         index.select("mz", "sid", "words", "owner").repartition(parts, "mz").sortWithinPartitions("mz", "sid")
@@ -331,12 +350,17 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     )
     if any_hot:
         owners = stash(owners, "owners")
-        back = (
+        of_window = (
             links.select("mz", "sid", "idx", "wmz", "wsid")
-            .join(owners.select(F.col("mz").alias("wmz"), F.col("sid").alias("wsid"), "owners"), ["wmz", "wsid"])
+            .join(owners.select(F.col("mz").alias("wmz"), F.col("sid").alias("wsid"), F.col("owners")[0].alias("o")), ["wmz", "wsid"])
             .groupBy("mz", "sid")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col("owners")[0].alias("o")))), lambda s: s["o"]).alias("owners"))
+            .agg(F.map_from_entries(F.collect_list(F.struct("idx", "o"))).alias("known"))
         )
+        back = (
+            crowded.select("mz", "sid", "owner", (F.size(F.split("words", " ")) - WINDOW).alias("last"))
+            .join(of_window, ["mz", "sid"], "left")
+            .select("mz", "sid", F.expr("transform(sequence(0, last), i -> coalesce(known[i], owner))").alias("owners"))
+        )
         owners = owners.unionByName(back)
     removed = (
         found.select("did", "h", "first", "mz", "sid")
