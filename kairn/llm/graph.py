@@ -92,9 +92,10 @@ def connect(
     are. verify takes candidate pairs (a, b), a < b, and returns those that link. `links` are known.
 
     Only connectivity is wanted. A first round checks every id with the nearest of its keys' hubs (a
-    hub is one id of a key's list, by hash). Lists within one component then need nothing more; the
-    second round checks every remaining pair of a list from two components that may be close. So a
-    group of near copies costs a check for each member, not for each pair, and no link is lost.
+    hub is one id of a key's list, by hash). Lists within one component need nothing more. A second
+    round checks all ids of the other lists with their list's hub, and the third round every pair of a
+    list that is still in two components and may be close. So a group of near copies costs a few
+    checks for each member, not one for each pair, and no link is lost.
     """
     hub = F.struct(F.xxhash64("id", "key").alias("o"), "id", *facts)
     near = group_back(lists, ["key"], {"hub": (F.min(hub), "min")}, F.col("id")).where("id <> hub.id")
@@ -105,9 +106,18 @@ def connect(
     found = stash(found if links is None else links.unionByName(found), "links")
     comp = components(found)
 
-    named = lists.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    low_high = {"low": (F.min("component"), "min"), "high": (F.max("component"), "max")}
-    rest = stash(group_back(named, ["key"], low_high, F.col("id"), having=F.expr("low < high")).drop("low", "high"), "rest")
+    def open_lists(comp: DataFrame) -> DataFrame:
+        """The lists whose ids are in more than one component."""
+        named = lists.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        low_high = {"low": (F.min("component"), "min"), "high": (F.max("component"), "max")}
+        return stash(group_back(named, ["key"], low_high, F.col("id"), having=F.expr("low < high")).drop("low", "high"), "rest")
+
+    hub = F.struct(F.xxhash64("id", "key", F.lit(2)).alias("o"), "id", "component", *facts)
+    near = group_back(open_lists(comp), ["key"], {"hub": (F.min(hub), "min")}, F.col("id")).where("component <> hub.component")
+    near = near.select(F.struct("id", *facts).alias("x"), F.col("hub").alias("y")).where(close("x", "y"))
+    pairs = near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    found = stash(found.unionByName(verify(stash(pairs, "pairs"))), "links")
+    rest = open_lists(components(found))
     x, y = rest.alias("x"), rest.alias("y")
     both = x.join(y, F.expr(f"x.key = y.key AND x.id < y.id AND x.component <> y.component AND {close('x', 'y')}"))
     pairs = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
