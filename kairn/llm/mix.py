@@ -145,7 +145,8 @@ def draw(sized: DataFrame, weights: Sequence[float], share: float, most: float,
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), r["source_no"], np.int32)), pa.array(block)], names=["source_no", "block"])
 
     taken = drawn.mapInArrow(slots_to_blocks, "source_no int, block long").groupBy("source_no", "block").agg(F.count("*").alias("copies"))
-    return pieces.join(taken, ["source_no", "block"]).select("key", "source", "block", "start", "n", "copies"), sources
+    # the plan is a small local table, what it expands to is not: never broadcast it by its estimate
+    return pieces.join(taken.hint("merge"), ["source_no", "block"]).select("key", "source", "block", "start", "n", "copies"), sources
 
 
 def _sized(docs: DataFrame) -> DataFrame:
