@@ -26,7 +26,7 @@ WINDOW, GRAM = 50, 8
 #: Words in a shard at least, unless the partition ends before.
 SHARD_WORDS = 200_000
 #: A minimizer with more distinct stretches is dealt window by window instead.
-HOT = 256
+HOT = 1024
 _LAST = np.int64(2**63 - 1)
 
 

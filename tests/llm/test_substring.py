@@ -46,7 +46,7 @@ def test_table(spark):
     assert check(spark.read.parquet(f"{sf('sf0.01')}/documents.parquet")) > 0
 
 
-@pytest.mark.parametrize("hot", [3, 256])
+@pytest.mark.parametrize("hot", [3, 1024])
 def test_planted(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT", hot)
     rng = random.Random(5)
