@@ -80,7 +80,7 @@ def tune(frames: DataFrame, side: int | None = None, rows: int = 2000, maxcl: in
     median = A.scan_statistics(some).first()["d_median"]
     out = None
     for grid, factor in (("1x1", 1.5), ("2x2", 1.5 * 0.92), ("3x3", 1.5 * 0.75)):
-        config = replace(EngineConfig(), rlim=factor * median, maxcl=maxcl)
+        config = replace(EngineConfig(), rlim=factor * median, maxcl=maxcl, maxim=rows)
         if grid == "1x1" or not side:
             member = fit(some, config).withColumn("tile_id", F.lit(0))
         else:

@@ -534,13 +534,12 @@ QUERIES |= {"tile_leader": _tiled(), "tile_joint": _tiled(pass2=True), "tile_xti
 
 @query()
 def embedding_from_distances(spark: SparkSession, d: str) -> DataFrame:
-    dist = A.anchor_distances(_nearest(spark, d)[1]).where("i < 20 AND j < 20")
-    return embed(dist, 3, steps=2000, restarts=2)
+    return embed(A.anchor_distances(_nearest(spark, d)[1]), 3)
 
 
 @query()
 def tune_radius(spark: SparkSession, d: str) -> DataFrame:
-    return tune(frames(spark, d), side=8, rows=300)
+    return tune(frames(spark, d), side=8, rows=2**62)
 
 
 @query()

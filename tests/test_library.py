@@ -135,3 +135,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_embedding_has_all_anchors(spark):
+    assert Q.QUERIES["embedding_from_distances"](spark, "/root/testdata/sf0.01").count() == 163
+
+
+def test_tune_takes_the_whole_table(spark):
+    frames = Q.frames(spark, "/root/testdata/sf0.01")
+    median = Q.A.scan_statistics(frames).first()["d_median"]
+    got = {r.tiles: r.rlim for r in Q.QUERIES["tune_radius"](spark, "/root/testdata/sf0.01").collect()}
+    assert got["1x1"] == pytest.approx(1.5 * median)
