@@ -23,6 +23,8 @@ from ..operators.knn import Search, knn, knn_brute, padded
 from ..sources.tables import column_frames, first_frames, vector_frames
 
 RLIM = 1.2
+#: No limit on frames or clusters: queries take the whole table.
+WHOLE = {"maxim": 2**62, "unlimited": True}
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -468,7 +470,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mode(**options) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        member = fit(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=5000, **options))
+        member = fit(frames(spark, d), EngineConfig(rlim=RLIM, **WHOLE, **options))
         return rounded(member, "dist").select("frame_id", "cluster_id", "dist", "is_new", F.size("evals").alias("n_evals"), "pruned")
 
     return run
@@ -485,45 +487,45 @@ QUERIES |= {f"stepper_{name}": _mode(**options) for name, options in _MODES.item
 @query(f"{_LEAD} SELECT cluster_id, anchor_id FROM anc")
 def stepper_anchors(spark: SparkSession, d: str) -> DataFrame:
     """The anchors of the state machine are those of the blockwise leader, in any mode."""
-    member = fit(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=5000, gprob=True, te4=True, sparse_dcc=True))
+    member = fit(frames(spark, d), EngineConfig(rlim=RLIM, **WHOLE, gprob=True, te4=True, sparse_dcc=True))
     return member.where("is_new").select("cluster_id", F.col("frame_id").alias("anchor_id"))
 
 
 @query()
 def stepper_discard(spark: SparkSession, d: str) -> DataFrame:
-    return fit(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=20, maxcl_strategy="discard")).select("frame_id", "cluster_id", "uid")
+    return fit(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=20, maxcl_strategy="discard", maxim=2**62)).select("frame_id", "cluster_id", "uid")
 
 
 @query()
 def stepper_merge(spark: SparkSession, d: str) -> DataFrame:
-    return fit(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=20, maxcl_strategy="merge")).select("frame_id", "cluster_id", "uid")
+    return fit(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=20, maxcl_strategy="merge", maxim=2**62)).select("frame_id", "cluster_id", "uid")
 
 
 @query()
 def stepper_by_stream(spark: SparkSession, d: str) -> DataFrame:
     """One stream for each user of events, values as one-dimensional frames, in parallel."""
     e = column_frames(table(spark, d, "events"), F.col("event_id"), ["value"], ["user_id"])
-    return fit(e, EngineConfig(rlim=10.0, maxim=2**62), ["user_id"]).select("user_id", "frame_id", "cluster_id", F.round("dist", 6).alias("dist"))
+    return fit(e, EngineConfig(rlim=10.0, **WHOLE), ["user_id"]).select("user_id", "frame_id", "cluster_id", F.round("dist", 6).alias("dist"))
 
 
 @query()
 def probe_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return A.probe_statistics(fit(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=5000)), RLIM)[0]
+    return A.probe_statistics(fit(frames(spark, d), EngineConfig(rlim=RLIM, **WHOLE)), RLIM)[0]
 
 
 @query()
 def failed_probes(spark: SparkSession, d: str) -> DataFrame:
-    return A.probe_statistics(fit(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=5000)), RLIM)[1]
+    return A.probe_statistics(fit(frames(spark, d), EngineConfig(rlim=RLIM, **WHOLE)), RLIM)[1]
 
 
 @query()
 def run_telemetry(spark: SparkSession, d: str) -> DataFrame:
-    return cluster(frames(spark, d), EngineConfig(rlim=RLIM, maxcl=5000, pred=(2, 1000, 2))).telemetry()
+    return cluster(frames(spark, d), EngineConfig(rlim=RLIM, **WHOLE, pred=(2, 1000, 2))).telemetry()
 
 
 def _tiled(**options) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        member = TL.fit_tiles(frames(spark, d), EngineConfig(rlim=0.7, maxcl=5000, **options), TL.grid_tiles(8, 8, "2x2"))
+        member = TL.fit_tiles(frames(spark, d), EngineConfig(rlim=0.7, **WHOLE, **options), TL.grid_tiles(8, 8, "2x2"))
         return member.select("frame_id", "tile_id", "cluster_id", F.round("dist", 6).alias("dist"))
 
     return run
@@ -539,7 +541,7 @@ def embedding_from_distances(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tune_radius(spark: SparkSession, d: str) -> DataFrame:
-    return tune(frames(spark, d), side=8, rows=2**62)
+    return tune(frames(spark, d), side=8, rows=2**62, maxcl=2**62)
 
 
 @query()

@@ -146,3 +146,11 @@ def test_tune_takes_the_whole_table(spark):
     median = Q.A.scan_statistics(frames).first()["d_median"]
     got = {r.tiles: r.rlim for r in Q.QUERIES["tune_radius"](spark, "/root/testdata/sf0.01").collect()}
     assert got["1x1"] == pytest.approx(1.5 * median)
+
+
+@pytest.mark.parametrize("name", ["stepper_default", "stepper_merge", "probe_histogram", "tile_leader"])
+def test_no_limit_on_frame_ids(spark, monkeypatch, name):
+    near = Q.frames
+    want = Q.QUERIES[name](spark, D).count()
+    monkeypatch.setattr(Q, "frames", lambda s, d: near(s, d).withColumn("frame_id", F.col("frame_id") + 200_000))
+    assert Q.QUERIES[name](spark, D).count() == want > 0
