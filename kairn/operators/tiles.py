@@ -78,14 +78,12 @@ class JointStepper:
         self.scale = 1.0
 
     def _scores(self, tile: int, known: dict[int, int]) -> np.ndarray | None:
-        """Weights of a tile's clusters from past tuples that agree with the other tiles or with the last tuple."""
+        """Weights of a tile's clusters from past tuples that agree with all known tiles and follow a tuple equal to the last one."""
         s, order = self.steppers[tile], list(self.tiles)
         weight = np.zeros(s.k)
         past = list(self.window)
         for i, row in enumerate(past):
-            w = sum(row[order.index(t)] == c for t, c in known.items())
-            if i and self.window:
-                w += sum(a == b for a, b in zip(past[i - 1], past[-1], strict=True))
+            w = all(row[order.index(t)] == c for t, c in known.items()) and (i == 0 or past[i - 1] == past[-1])
             own = row[order.index(tile)]
             if w and own in s.uid:
                 weight[s.uid.index(own)] += w

@@ -11,7 +11,7 @@ from kairn.functions import ordered
 from kairn.operators.cluster import cluster, fit
 from kairn.operators.knn import Search, knn, knn_brute
 from kairn.operators.leader import assign, leader_anchors
-from kairn.operators.tiles import fit_tiles, tuples
+from kairn.operators.tiles import JointStepper, fit_tiles, tuples
 from kairn.plans import queries as Q
 from kairn.sources import files, sinks
 from kairn.streaming.fit import STORE, fit_stream, missed_frames
@@ -154,3 +154,16 @@ def test_no_limit_on_frame_ids(spark, monkeypatch, name):
     want = Q.QUERIES[name](spark, D).count()
     monkeypatch.setattr(Q, "frames", lambda s, d: near(s, d).withColumn("frame_id", F.col("frame_id") + 200_000))
     assert Q.QUERIES[name](spark, D).count() == want > 0
+
+
+def test_tuple_scores_are_products_of_exact_matches():
+    joint = JointStepper(EngineConfig(rlim=0.5, xtile=2), {0: [0], 1: [1]})
+    for x in ([0.0, 0.0], [10.0, 10.0]):
+        joint.step(np.array(x))
+    joint.window.clear()
+    joint.window.extend([(0, 0), (1, 1), (1, 0), (0, 0)])
+    assert joint._scores(1, {0: 1}) == pytest.approx([0.01 / 1.02, 1.01 / 1.02])
+    joint.window.extend([(1, 0), (1, 1)])
+    assert joint._scores(1, {0: 0}) == pytest.approx([1.01 / 1.02, 0.01 / 1.02])
+    joint.window.append((0, 1))
+    assert joint._scores(0, {1: 7}) is None
