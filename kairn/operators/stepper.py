@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from ..config import EngineConfig
-from ..functions.metric import bound_4pt_np, bound_5pt_np, fmatch_np, rough_log2, soft_exp_np
+from ..functions.metric import bound_4pt_np, fmatch_np, rough_log2, soft_exp_np
 
 FAR = 1e18
 
@@ -148,25 +148,78 @@ class FrameStepper:
     def _prune(self, measured: list[tuple[int, float]], active: np.ndarray) -> int:
         """Drop clusters that are proven to be beyond rlim; returns how many."""
         k, r = self.k, self.c.rlim
-        before = int(active.sum())
+        before = np.count_nonzero(active)
         c, d = measured[-1]
         low, high = self.low[c, :k], self.high[c, :k]
-        active &= ~((low - d > r) | ((high < FAR) & (d - high > r)))
-        exact = self.low[:k, :k] == self.high[:k, :k]
-        if self.c.te4:
-            for c1, d1 in measured[:-1]:
-                if exact[c1, c]:
-                    at = np.flatnonzero(active & exact[c1] & exact[c])
-                    bound = bound_4pt_np(self.low[c1, c], d1, d, self.low[c1, at], self.low[c, at])
-                    active[at[bound > r]] = False
-        if self.c.te5:
-            for i, (c2, d2) in enumerate(measured[:-1]):
-                for c3, d3 in measured[:i]:
-                    if exact[c, c2] and exact[c, c3] and exact[c2, c3]:
-                        at = np.flatnonzero(active & exact[c] & exact[c2] & exact[c3])
-                        bound = bound_5pt_np(self.low[c, c2], self.low[c, c3], self.low[c2, c3], d, d2, d3, self.low[c, at], self.low[c2, at], self.low[c3, at])
-                        active[at[bound > r]] = False
-        return before - int(active.sum())
+        if self.c.sparse_dcc:
+            active &= ~((low - d > r) | ((high < FAR) & (d - high > r)))
+        else:
+            active &= np.abs(low - d) <= r
+        if (self.c.te4 or self.c.te5) and len(measured) > 1 and active.any():
+            # the earlier probes whose distance to this one is known, latest first
+            known = [(i, e) for i, e in reversed(measured[:-1]) if low[i] == high[i]]
+            probes, dist = np.array([i for i, _ in known], np.int64), np.array([e for _, e in known])
+            at = np.flatnonzero(active & (low == high))
+            if self.c.te4 and len(probes):
+                at = self._prune_4pt(c, d, probes, dist, at, active)
+            if self.c.te5 and len(probes) > 1:
+                self._prune_5pt(c, d, probes, dist, at, active)
+        return before - np.count_nonzero(active)
+
+    def _prune_4pt(self, c: int, d: float, probes: np.ndarray, dist: np.ndarray, at: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Bounds from probe c with each earlier one, for all of `at` in one call; returns those of `at` that stay."""
+        to = self.low[np.ix_(probes, at)]
+        bound = bound_4pt_np(self.low[probes, c][:, None], dist[:, None], d, to, self.low[c, at])
+        gone = ((bound > self.c.rlim) & (to == self.high[np.ix_(probes, at)])).any(axis=0)
+        active[at[gone]] = False
+        return at[~gone]
+
+    def _prune_5pt(self, c: int, d: float, probes: np.ndarray, dist: np.ndarray, at: np.ndarray, active: np.ndarray) -> None:
+        """Bounds from probe c with each two earlier ones (bound_5pt_np, in squares).
+
+        Probe c is the origin and an earlier one, c2, lies on the x axis; all others as the third point
+        and all of `at` as the target are one call.
+        """
+        low, high, rr = self.low, self.high, self.c.rlim**2
+        sparse = self.c.sparse_dcc
+        own, far = low[c, probes] ** 2, low[np.ix_(probes, at)] ** 2
+        for i in range(len(probes) - 1):
+            if not len(at):
+                return
+            e, third = low[c, probes[i]], np.arange(i + 1, len(probes))
+            if e < 1e-9:
+                continue
+            x3 = (own[third] - low[probes[i], probes[third]] ** 2 + e * e) / (2 * e)
+            yy = own[third] - x3 * x3
+            fit = yy >= 1e-9
+            if sparse:
+                fit &= low[probes[i], probes[third]] == high[probes[i], probes[third]]
+            third, x3, scale = third[fit], x3[fit], 0.5 / np.sqrt(yy[fit])
+            to = low[c, at] ** 2
+            x5, x4 = (d * d - dist[i] ** 2 + e * e) / (2 * e), (to - far[i] + e * e) / (2 * e)
+            y5 = (d * d - dist[third] ** 2 + own[third] - 2 * x3 * x5) * scale
+            z5 = np.sqrt(np.maximum(0, d * d - x5 * x5 - y5 * y5))
+            y = np.multiply.outer(-2 * x3, x4)
+            y += own[third][:, None]
+            y -= far[third]
+            y += to
+            y *= scale[:, None]
+            z = (to - x4 * x4) - y * y
+            np.maximum(z, 0, out=z)
+            np.sqrt(z, out=z)
+            z -= z5[:, None]
+            y -= y5[:, None]
+            z *= z
+            y *= y
+            y += z
+            over = y > rr - (x4 - x5) ** 2
+            if sparse:
+                over &= low[np.ix_(probes[third], at)] == high[np.ix_(probes[third], at)]
+                over &= low[probes[i], at] == high[probes[i], at]
+            gone = over.any(axis=0)
+            if gone.any():
+                active[at[gone]] = False
+                at, far = at[~gone], far[:, ~gone]
 
     # targets
 
@@ -219,26 +272,32 @@ class FrameStepper:
             if self.boost is not None and len(self.boost) == self.k:
                 prior = prior * self.boost
                 prior = prior / prior.sum() if prior.sum() > 0 else self.prob[: self.k].copy()
-            active, post = np.ones(self.k, bool), prior.copy()
-            listed, left = self._candidates(), prior.copy()
+            listed = self._candidates()
             out.predicted = bool(listed)
-            while active.any():
+            # beliefs change with each miss in these modes only; else the prior's order is all there is
+            belief = c.entropy or c.gprob or c.xtile or c.soft_bayesian
+            active, post, left = np.ones(self.k, bool), prior.copy() if belief else prior, prior.copy()
+            while True:
                 listed = [j for j in listed if active[j]]
                 if listed:
                     t = listed.pop(0)
+                elif not belief or c.soft_bayesian and not (c.entropy or c.gprob or c.xtile):
+                    # the static order, best first and ties to the lowest number, without sorting it all
+                    t = int(left.argmax())
+                    if left[t] < 0:
+                        break
+                elif not active.any():
+                    break
                 elif c.entropy:
                     t = self._entropy_target(post, active, not measured, out)
-                elif c.gprob or c.xtile:
+                else:
                     on = np.flatnonzero(active)
                     t = int(on[np.argmax(post[on])])
-                else:
-                    # the static order, best first and ties to the lowest number, without sorting it all
-                    left[~active] = -1
-                    t = int(left.argmax())
                 d = self._distance(x, self.anchors[t], "dfc")
                 measured.append((t, d))
                 self.visits[t] += 1
-                self.visitors[t].append((self.frames, d))
+                if c.gprob:
+                    self.visitors[t].append((self.frames, d))
                 if c.trace:
                     out.trace.append(("probe", self.uid[t], d))
                 if d < c.rlim:
@@ -250,6 +309,9 @@ class FrameStepper:
                 out.pruned += gone
                 if c.trace and gone:
                     out.trace.append(("prune", gone, d))
+                if not belief:
+                    left[~active] = -1
+                    continue
                 if c.gprob:
                     for f, dk in list(self.visitors[t])[-c.maxvis - 1 : -1]:
                         s = self.assigned.get(f, -1)
@@ -259,6 +321,7 @@ class FrameStepper:
                     sigma, exact = c.soft_bayesian_sigma * c.rlim, self.low[t, : self.k] == self.high[t, : self.k]
                     on = active & exact
                     post[on] *= soft_exp_np((d - self.low[t, : self.k][on]) ** 2 / (2 * sigma**2))
+                left[~active] = -1
                 post[~active] = 0
                 total = post.sum()
                 if active.any():
@@ -317,8 +380,11 @@ class FrameStepper:
             for j, d in known.items():
                 self.low[n, j] = self.high[n, j] = d
         else:
-            for j in range(n):
-                self.low[n, j] = self.high[n, j] = known[j] if j in known else self._distance(x, self.anchors[j], "dcc")
+            apart = self.anchors[:n] - x
+            self.low[n, :n] = np.sqrt(np.einsum("ij,ij->i", apart, apart))
+            self.low[n, list(known)] = list(known.values())
+            self.high[n, :n] = self.low[n, :n]
+            self.calls["dcc"] += n - len(known)
         self.low[n, n] = self.high[n, n] = 0.0
         self.low[: n + 1, n], self.high[: n + 1, n] = self.low[n, : n + 1], self.high[n, : n + 1]
         self.prob[n], self.visits[n] = 1.0, 1
