@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -35,13 +36,19 @@ def member_batch(rows: list[tuple[int, Step, int]]) -> pa.RecordBatch:
     )
 
 
+#: Steps that a task holds before it passes them on.
+STEPS = 2000
+
+
 def fit(frames: DataFrame, config: EngineConfig, by: list[str] | None = None) -> DataFrame:
     """Membership of every frame (MEMBER's columns), in the mode that config asks for.
 
     by: keys of independent streams, which run in parallel; a stream is inherently sequential and is
     one task, whatever its length (leader_anchors finds the same anchors of one long stream in
-    parallel). Clusters evicted later are -1, merged ones have the number of their heir; evals and uid
-    keep creation numbers. With the strategy `stop`, the run of a stream ends where maxcl is reached.
+    parallel). Streams are sorted by Spark, which spills, and go through a task batch by batch; only
+    the strategies `discard` and `merge` hold a stream's steps, as a cluster's number is known at the
+    end. Clusters evicted later are -1, merged ones have the number of their heir; evals and uid keep
+    creation numbers. With the strategy `stop`, the run of a stream ends where maxcl is reached.
     Frames from maxim on are left out, and so are null vectors.
     """
     by = by or []
@@ -50,27 +57,45 @@ def fit(frames: DataFrame, config: EngineConfig, by: list[str] | None = None) ->
             raise ValueError("an automatic radius needs one sequence")
         config = config.with_radius(A.auto_radius(frames, config.auto_factor).first()[0])
     rows = frames.where((F.col("frame_id") < config.maxim) & F.col("data").isNotNull()).select(*by, "frame_id", "data")
-    if not by:
-        rows, by, alone = rows.withColumn("_all", F.lit(0)), ["_all"], True
-    else:
-        alone = False
     kinds = dict(rows.dtypes)
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("frame_id")
-        stepper, steps = FrameStepper(config), []
-        for i, x in zip(table.column("frame_id").to_pylist(), matrix(table.column("data")), strict=True):
-            try:
-                steps.append((i, stepper.step(x)))
-            except Stopped:
-                break
-        final = {s.cluster: stepper.final(s.cluster) for _, s in steps}
-        batch = member_batch([(i, s, final[s.cluster]) for i, s in steps])
-        keys = [pa.array([table.column(b)[0].as_py()] * len(steps), table.schema.field(b).type) for b in by]
-        return pa.Table.from_arrays([*keys, *batch.columns], names=[*by, *batch.schema.names])
-
-    out = rows.groupBy(*by).applyInArrow(run, ", ".join([*(f"`{b}` {kinds[b]}" for b in by), MEMBER]))
-    return out.drop("_all") if alone else out
+    held_back = not config.unlimited and config.maxcl_strategy != "stop"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stepper, key, stopped, steps = None, None, False, []
+
+        def made() -> pa.RecordBatch:
+            final = {u: stepper.final(u) for u in {s.cluster for _, s in steps}}
+            batch = member_batch([(i, s, final[s.cluster]) for i, s in steps])
+            keys = [pa.array([v] * len(steps), t) for v, t in zip(key, key_types, strict=True)]
+            return pa.RecordBatch.from_arrays([*keys, *batch.columns], names=[*by, *batch.schema.names])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key_types = [batch.schema.field(b).type for b in by]
+            owners = list(zip(*[batch.column(b).to_pylist() for b in by], strict=True)) if by else [()] * batch.num_rows
+            for owner, i, x in zip(owners, batch.column("frame_id").to_pylist(), matrix(batch.column("data")), strict=True):
+                if stepper is None or owner != key:
+                    if steps:
+                        yield made()
+                    stepper, key, stopped, steps = FrameStepper(config), owner, False, []
+                if stopped:
+                    continue
+                try:
+                    steps.append((i, stepper.step(x)))
+                except Stopped:
+                    stopped = True
+                if len(steps) >= STEPS and not held_back:
+                    yield made()
+                    steps = []
+        if steps:
+            yield made()
+
+    if by:
+        streams = rows.repartition(*by).sortWithinPartitions(*by, "frame_id")
+    else:
+        streams = rows.repartition(1).sortWithinPartitions("frame_id")
+    return streams.mapInArrow(run, ", ".join([*(f"`{b}` {kinds[b]}" for b in by), MEMBER]))
 
 
 @dataclass
