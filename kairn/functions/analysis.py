@@ -172,8 +172,11 @@ def pattern_successors(membership: DataFrame, length: int, horizon: int, order:
         df = lagged(df, {last: name}, order)
         last = name
     gram = df.where(F.col(ids[-1]).isNotNull()).select(order, "cluster_id", F.concat_ws(",", *[F.col(c) for c in ids]).alias("gram"))
-    past = gram.select(F.col(order).alias("at"), F.col("cluster_id").alias("successor"), "gram")
-    hits = gram.join(past, "gram").where((F.col("at") < F.col(order)) & (F.col("at") >= F.col(order) - horizon))
+    # Occurrences meet by stretch of `horizon` frames, the own and the one before: pairs grow with the input, not its square.
+    stretch = F.floor(F.col(order) / horizon).cast("long")
+    past = gram.select(F.col(order).alias("at"), F.col("cluster_id").alias("successor"), "gram", stretch.alias("stretch"))
+    gram = gram.withColumn("stretch", F.explode(F.array(stretch, stretch - 1)))
+    hits = gram.join(past, ["gram", "stretch"]).where((F.col("at") < F.col(order)) & (F.col("at") >= F.col(order) - horizon))
     return hits.groupBy(order, "successor").agg(F.count("*").alias("n"))
 
 
