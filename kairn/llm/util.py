@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,28 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+#: Rows in an Arrow batch at most: texts and sets are long, and a batch is in memory twice.
+BATCH_ROWS = 1000
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, in a worker that gives memory back: workers outlive their tasks.
+
+    Large arrays get pages of their own, which go with them, and what is free goes at the task's end.
+    """
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD; set by hand, it stays
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return lean_run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares; a temporary one only where the session names none."""
     sc = spark.sparkContext
@@ -30,13 +52,18 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs the tasks it ran, not what came before. The table
-    goes when the session's JVM ends.
+    This cuts the lineage: a lost executor costs the tasks it ran, not what came before. The shuffle
+    files of the job go with it; the table goes when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/kairn-{what}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
+    schema, cleanup = df.schema, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -46,8 +73,12 @@ def stash(df: DataFrame, what: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id, text, source, lang and all columns of docs as the struct `row`; a missing one is null.
 
-    Operators work on these fixed names, so that other columns of docs can have any name.
+    Operators work on these fixed names, so that other columns of docs can have any name. The session's
+    Arrow batches are limited to BATCH_ROWS rows from here on.
     """
+    spark, rows = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     have = set(docs.columns)
 
     def pick(name: str, kind: str) -> Column:
@@ -117,12 +148,19 @@ class Sieve:
             part = [TaskContext.get().partitionId() % 256] * len(used)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(part, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["slot", "part", "bits"])
 
-        rows = keys.mapInArrow(mark, kind).groupBy("slot", "part").applyInArrow(_either, kind).groupBy("slot").applyInArrow(_either, kind).collect()
+        rows = keys.mapInArrow(lean(mark), kind).groupBy("slot", "part").applyInArrow(_either, kind).groupBy("slot").applyInArrow(_either, kind).collect()
         bits = np.zeros((SIEVE_BITS // SIEVE_ROW, SIEVE_ROW // 8), np.uint8)
         for r in rows:
             bits[r["slot"]] = np.frombuffer(r["bits"], np.uint8)
         self._bits = keys.sparkSession.sparkContext.broadcast(bits.reshape(-1))
 
+    def __enter__(self) -> Sieve:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        """Frees the bits everywhere; whatever uses the sieve has to have run."""
+        self._bits.destroy()
+
     def has(self, keys: np.ndarray) -> np.ndarray:
         table, out = self._bits.value, np.ones(len(keys), bool)
         for place in _places(keys):
@@ -130,9 +168,9 @@ class Sieve:
         return out
 
     def __call__(self, key: Column) -> Column:
-        @F.pandas_udf("boolean")
-        def passes(values: pd.Series) -> pd.Series:
-            return pd.Series(self.has(values.to_numpy(np.int64)))
+        @F.arrow_udf("boolean")
+        def passes(values: pa.Array) -> pa.Array:
+            return pa.array(self.has(values.fill_null(0).to_numpy(zero_copy_only=False)))
 
         return passes(key)
 
@@ -170,7 +208,7 @@ class Repeats:
             part = [TaskContext.get().partitionId() % 256] * len(used)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(part, pa.int32()), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["slot", "part", "bits"])
 
-        rows = df.mapInArrow(count, kind).groupBy("slot", "part").applyInArrow(_capped_sum, kind).groupBy("slot").applyInArrow(_capped_sum, kind).collect()
+        rows = df.mapInArrow(lean(count), kind).groupBy("slot", "part").applyInArrow(_capped_sum, kind).groupBy("slot").applyInArrow(_capped_sum, kind).collect()
         twice = np.zeros((REPEAT_SLOTS // REPEAT_ROW, REPEAT_ROW), bool)
         for r in rows:
             twice[r["slot"]] = np.frombuffer(r["bits"], np.uint8) > 1
