@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import core, group_back, stash
+from .util import Sieve, core, group_back, stash
 
 _REMOVE = " \t\n\x0b\x0c\r"
 
@@ -23,12 +23,13 @@ def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md
     Texts are equal when they agree after deleting ASCII white space (null: empty). Of equal texts the
     row with the most code points, then the smallest doc_id, stays (a null doc_id only where there is
     no other). Rows repeated with one doc_id count each; of those that tie with the row that stays,
-    all have its doc_id and are kept.
+    all have its doc_id and are kept. Texts are hashed and compared whole, however long.
 
     1. One scan makes a small table: id, length, 128-bit hash, SHA-256. Only this is grouped, by hash
        and salt, then by hash.
-    2. Rows whose hash occurs twice are read again, and each hash group's smallest and largest text
-       are found with map-side aggregation. Where these differ, texts collided in the hash.
+    2. Texts whose hash may occur twice, by a sieve, are read again, and each hash group's smallest and
+       largest text are found by hash and salt, then by hash. Where these differ, texts collided in
+       the hash. Other texts are never shuffled, and no task holds a large group's texts.
     3. Colliding groups (none, in practice) are grouped by the text itself.
     """
     docs = core(docs, "doc_id", "text")
@@ -46,16 +47,17 @@ def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md
     keep = {"group_size": (F.count("*"), "sum"), "best": (F.min(best), "min")}
     out = ["doc_id", F.col("best.i").alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(F.col("best.i")) & (F.col("best.p") == -F.col("points"))).alias("kept"), "text_sha256"]
 
-    twice = small.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    again = docs.select("doc_id", content_hash(norm).alias("hash"), norm.alias("norm"))
-    bytes_of = (
-        again.join(twice, "hash", "left_semi")
-        .groupBy("hash", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt"))
-        .agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
-        .groupBy("hash")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    )
-    collided = stash(bytes_of.where("low <> high").select("hash"), "collided")
+    twice = stash(small.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("hash").alias("key")), "twice")
+    again = docs.select(F.xxhash64("doc_id").alias("spread"), content_hash(norm).alias("hash"), norm.alias("norm"))
+    with Sieve(twice) as may:
+        bytes_of = (
+            again.where(may(F.xxhash64("hash")))
+            .groupBy("hash", F.pmod("spread", F.lit(64)).alias("salt"))
+            .agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+            .groupBy("hash")
+            .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        )
+        collided = stash(bytes_of.where("low <> high").select("hash"), "collided")
     if collided.isEmpty():
         return group_back(small, ["hash"], keep, F.col("doc_id")).select(*out)
     plain = group_back(small.join(collided, "hash", "left_anti"), ["hash"], keep, F.col("doc_id")).select(*out)
