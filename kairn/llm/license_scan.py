@@ -7,14 +7,16 @@ there with up to k errors and reports spans.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .util import core
+from .util import core, lean
 
 # fixed values: the contract's phrases and their labels
 PHRASES = {
@@ -49,42 +51,35 @@ class Notice:
         n = len(phrase)
         cuts = [n * i // (self.k + 1) for i in range(self.k + 2)]
         self.parts = [(a, phrase[a:b].encode()) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.pattern = regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(phrase)}){{e<={self.k}}}(?![^ ])") if self.k else None
+        self.pattern = regex.compile(rf"(?b)(?<= )(?:{regex.escape(phrase)}){{e<={self.k}}}(?= )") if self.k else None
 
     def find(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, edits) of matches in normalised words joined by one space, with a space at both ends."""
-        found: dict[tuple[int, int], int] = {}
+        """(start, end, edits) of matches in normalised words joined by one space, with a space at both ends.
+
+        Each seed has a window of its own, as wide as a match around it can be; the best match in it
+        counts. Of matches that overlap, those with the fewest edits stay, then the first.
+        """
         if not self.k:
-            whole, at = b" " + self.parts[0][1] + b" ", 0
-            while (at := text.find(whole, at)) >= 0:
-                found[at + 1, at + len(whole) - 1] = 0
-                at += 1
-            return [(*s, e) for s, e in sorted(found.items())]
-        reach = []
+            whole, at, exact = b" " + self.parts[0][1] + b" ", -1, []
+            while (at := text.find(whole, at + 1)) >= 0:
+                exact.append((at + 1, at + len(whole) - 1, 0))
+            return exact
+        found, wide = set(), 4 * self.k + 1  # an inserted character has four bytes at most
         for offset, part in self.parts:
             at = -1
             while (at := text.find(part, at + 1)) >= 0:
-                reach.append((max(0, at - offset - self.k - 1), at - offset + len(self.phrase) + self.k + 1))
-        reach.sort()
-        merged: list[list[int]] = []
-        for a, b in reach:
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            while a > 0 and text[a] != 32:
-                a -= 1
-            end = text.find(b" ", b)
-            window = text[a : end + 1 if end >= 0 else len(text)].decode("utf-8", "replace")
-            for m in self.pattern.finditer(window, overlapped=False):
-                start = a + len(window[: m.start()].encode())
-                found[start, start + len(m.group().encode())] = sum(m.fuzzy_counts)
-        return [(*s, e) for s, e in sorted(found.items())]
-
-
-def words_before(text: bytes, at: int) -> int:
-    return text.count(b" ", 0, at) - 1
+                low = max(0, at - offset - wide)
+                # bytes of a character that the window cuts stand for themselves
+                window = text[low : at - offset + len(self.phrase) + wide].decode("utf-8", "surrogateescape")
+                if m := self.pattern.search(window):
+                    start = low + len(window[: m.start()].encode("utf-8", "surrogateescape"))
+                    found.add((sum(m.fuzzy_counts), start, start + len(m.group().encode("utf-8", "surrogateescape"))))
+        kept: list[tuple[int, int, int]] = []
+        for edits, start, end in sorted(found):
+            i = bisect.bisect(kept, (start, end, edits))
+            if (i == 0 or kept[i - 1][1] <= start) and (i == len(kept) or end <= kept[i][0]):
+                kept.insert(i, (start, end, edits))
+        return kept
 
 
 def scan(raw: bytes, base: list[Notice], all_: list[Notice]) -> tuple:
@@ -94,20 +89,23 @@ def scan(raw: bytes, base: list[Notice], all_: list[Notice]) -> tuple:
     text = b" " + b" ".join(words) + b" "
     if not any(part in text for n in all_ for _, part in n.parts):
         return tuple(row)
+    blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
     labels, places, spans, score = set(), [], [], 0.0
     for n in base:
         whole, at = b" " + n.phrase.encode() + b" ", -1
         while (at := text.find(whole, at + 1)) >= 0:
-            places.append(words_before(text, at + 1))
+            places.append(at)
             labels.add(n.label)
     every = set(labels)
     for n in all_:
         for start, end, edits in n.find(text):
             every.add(n.label)
-            spans.append({"label": n.label, "start": words_before(text, start), "end": words_before(text, end) + 1, "edits": edits})
+            first, last = np.searchsorted(blanks, (start, end))
+            spans.append({"label": n.label, "start": int(first) - 1, "end": int(last), "edits": edits})
             score = max(score, 1 - edits / len(n.phrase))
     if places:
-        row[1:4] = [len(places), min(places), max(places)]
+        # a place is the blank before a phrase: as many words stand before it as blanks
+        row[1:4] = [len(places), *np.searchsorted(blanks, (min(places), max(places))).tolist()]
         score = 1.0
     row[4:] = [",".join(sorted(labels)), ",".join(sorted(every)), score, spans]
     return tuple(row)
@@ -120,7 +118,8 @@ def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, notices:
     n_base counts all places where a phrase's words stand consecutively; spans (word positions, end
     exclusive, and edits) come from the fuzzy search over phrases and notices. score is the best
     similarity found, 1 for an exact phrase, 0 for none. Null or empty texts have no words and empty
-    labels; repeated rows and null ids get a row each. Reads whole texts, no shuffle.
+    labels; repeated rows and null ids get a row each. Reads whole texts, no shuffle; time grows with a
+    text's length and the places found in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,4 +135,4 @@ def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, notices:
                 kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]], names=names)
 
-    return core(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return core(docs, "doc_id", "text").mapInArrow(lean(run), SCHEMA)
