@@ -19,9 +19,9 @@ def sequential_distances(frames: DataFrame, by: list[str] | None = None) -> Data
 def scan_statistics(frames: DataFrame) -> DataFrame:
     """min, p20, median, p80, max of consecutive distances (linear interpolation), and their number."""
     d = sequential_distances(frames)
-    p = F.percentile("d", F.array(*[F.lit(x) for x in (0.0, 0.2, 0.5, 0.8, 1.0)])).alias("p")
-    one = d.agg(p, F.count("*").alias("n"))
-    return one.select(*[F.col("p")[i].alias(n) for i, n in enumerate(("d_min", "d_p20", "d_median", "d_p80", "d_max"))], "n")
+    values = percentiles(d, "d", [0.0, 0.2, 0.5, 0.8, 1.0])
+    names = ("d_min", "d_p20", "d_median", "d_p80", "d_max")
+    return d.agg(*[F.lit(v).cast("double").alias(c) for c, v in zip(names, values, strict=True)], F.count("*").alias("n"))
 
 
 def auto_radius(frames: DataFrame, factor: float) -> DataFrame:
@@ -202,8 +202,10 @@ def unique_tuples(tuples: DataFrame, parts: str = "tuple") -> DataFrame:
     return tuples.where(~F.array_contains(parts, -1)).groupBy(parts).agg(F.count("*").alias("n"), F.max("frame_id").alias("last_active"))
 
 
-def cross_tile_weights(tiles: DataFrame, decay: float, last_frame: int) -> DataFrame:
-    """Co-occurrence of clusters of different tiles in a frame, weighted decay ** age."""
+def cross_tile_weights(tiles: DataFrame, decay: float, last_frame: int | None = None) -> DataFrame:
+    """Co-occurrence of clusters of different tiles in a frame, weighted decay ** age (from the last frame, if none is given)."""
+    if last_frame is None:
+        last_frame = tiles.agg(F.max("frame_id")).first()[0]
     a, b = tiles.alias("a"), tiles.alias("b")
     pair = a.join(b, (F.col("a.frame_id") == F.col("b.frame_id")) & (F.col("a.tile_id") != F.col("b.tile_id")))
     return pair.groupBy(
@@ -218,8 +220,68 @@ def probe_statistics(evals: DataFrame, rlim: float) -> tuple[DataFrame, DataFram
     return by_count, each.groupBy(F.col("e.cluster_id").alias("cluster_id")).agg(F.count("*").alias("failed"))
 
 
+def pruned_by_depth(evals: DataFrame) -> DataFrame:
+    """(depth, probes, pruned_fraction): the mean share of clusters excluded before the first, second, ... probe of a frame."""
+    each = evals.select("is_new", F.size("evals").alias("n"), F.posexplode("evals").alias("depth", "e")).where("NOT (is_new AND depth = n - 1)")
+    return each.groupBy("depth").agg(F.count("*").alias("probes"), F.avg("e.excluded").alias("pruned_fraction"))
+
+
+def centroid_distances(means: DataFrame, counts: DataFrame, top: int = 40) -> DataFrame:
+    """(i, j, dist) between the centroids of the `top` largest clusters, in both orders and with the diagonal."""
+    often = counts.orderBy(F.desc("n"), "cluster_id").limit(top).select("cluster_id")
+    few = means.join(F.broadcast(often), "cluster_id")
+    a, b = few.alias("a"), few.alias("b")
+    return a.crossJoin(b).select(F.col("a.cluster_id").alias("i"), F.col("b.cluster_id").alias("j"), l2(F.col("a.mean"), F.col("b.mean")).alias("dist"))
+
+
+#: Up to so many values, one aggregation buffer holds them all; beyond, they are counted into bins.
+EXACT_ROWS, BINS = 1_000_000, 4096
+
+
+def percentiles(df: DataFrame, column: str, at: list[float]) -> list[float | None]:
+    """Exact percentiles by linear interpolation.
+
+    Of many values, bins around each rank are counted and narrowed until few values are left; a pass
+    returns BINS counts, whatever the size of the table.
+    """
+    low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    if not n:
+        return [None] * len(at)
+    if n <= EXACT_ROWS:
+        return list(df.agg(F.percentile(column, F.array(*[F.lit(p) for p in at])).alias("p")).first()[0])
+    found: dict[int, float] = {}
+    for rank in sorted({k for p in at for k in (int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1))}):
+        lo, hi, before = float(low), float(high), 0
+        while rank not in found:
+            v = F.col(column)
+            inside = df.where((v >= lo) & (v <= hi))
+            width = (hi - lo) / BINS
+            count = inside.count()
+            if count <= EXACT_ROWS or width <= 0 or lo + width <= lo:
+                found[rank] = float(inside.agg(F.sort_array(F.collect_list(column)).alias("v")).select(F.get("v", F.lit(rank - before))).first()[0]) if count <= EXACT_ROWS else lo
+                break
+            part = F.least(F.lit(BINS - 1), F.floor((v - lo) / width)).cast("int")
+            bins = {r["b"]: (r["n"], r["least"], r["most"]) for r in inside.groupBy(part.alias("b")).agg(F.count("*").alias("n"), F.min(column).alias("least"), F.max(column).alias("most")).collect()}
+            for b in sorted(bins):
+                size, least, most = bins[b]
+                if rank < before + size:
+                    lo, hi = float(least), float(most)
+                    break
+                before += size
+            if lo == hi:
+                found[rank] = lo
+    out = []
+    for p in at:
+        k, part = int(p * (n - 1)), p * (n - 1) - int(p * (n - 1))
+        one, two = found[k], found[min(n - 1, k + 1)]
+        out.append(one + part * (two - one))
+    return out
+
+
 def normalised(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99, floor: float = 0.05) -> DataFrame:
     """column stretched so that its low and high percentiles become floor and 1, and clipped."""
-    p = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("p")).select(F.col("p")[0].alias("_lo"), F.col("p")[1].alias("_hi"))
-    v = F.lit(floor) + (1 - floor) * (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    return df.crossJoin(F.broadcast(p)).withColumn(f"{column}_norm", F.least(F.lit(1.0), F.greatest(F.lit(floor), v))).drop("_lo", "_hi")
+    least, most = percentiles(df, column, [low, high])
+    if least is None:
+        return df.withColumn(f"{column}_norm", F.lit(None).cast("double"))
+    v = F.lit(floor) + (1 - floor) * (F.col(column) - F.lit(least)) / F.lit(most - least)
+    return df.withColumn(f"{column}_norm", F.least(F.lit(1.0), F.greatest(F.lit(floor), v)))

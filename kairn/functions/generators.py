@@ -17,6 +17,16 @@ def _indexed(spark: SparkSession, n: int, *data: Column) -> DataFrame:
     return spark.range(n).withColumnRenamed("id", "frame_id").select("frame_id", F.array(*[c.cast("double") for c in data]).alias("data"))
 
 
+def uniform(seed: int, key: str = "frame_id") -> Column:
+    """Uniform in [0, 1) from a hash of the row's key: however rows are dealt, a seed gives the same data."""
+    return (F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11) / F.lit(float(1 << 53))).cast("double")
+
+
+def normal(seed: int, key: str = "frame_id") -> Column:
+    """Standard normal values, by the Box-Muller transform of two uniforms."""
+    return F.sqrt(-2 * F.log(1 - uniform(2 * seed, key))) * F.cos(TAU * uniform(2 * seed + 1, key))
+
+
 def circle(spark: SparkSession, n: int, period: float | None = None) -> DataFrame:
     """Points of the unit circle, one turn in `period` frames (all of them by default)."""
     angle = F.lit(TAU) * F.col("frame_id") / F.lit(float(period or n))
@@ -43,13 +53,13 @@ def spiral(spark: SparkSession, n: int, loops: float = 2, dims: int = 2) -> Data
 def random_ball(spark: SparkSession, n: int, dims: int, seed: int) -> DataFrame:
     """Uniform in the unit disc (2) or ball (3); in the cube [-1, 1] for other dimensions."""
     if dims not in (2, 3):
-        return _indexed(spark, n, *[2 * F.rand(seed + k) - 1 for k in range(dims)])
-    angle = TAU * F.rand(seed + 1)
+        return _indexed(spark, n, *[2 * uniform(seed + k) - 1 for k in range(dims)])
+    angle = TAU * uniform(seed + 1)
     if dims == 2:
-        r = F.sqrt(F.rand(seed))
+        r = F.sqrt(uniform(seed))
         return _indexed(spark, n, r * F.cos(angle), r * F.sin(angle))
-    r, z = F.cbrt(F.rand(seed)), 2 * F.rand(seed + 2) - 1
-    base = spark.range(n).select(F.col("id").alias("frame_id"), r.alias("r"), angle.alias("a"), z.alias("z"))
+    r, z = F.cbrt(uniform(seed)), 2 * uniform(seed + 2) - 1
+    base = spark.range(n).withColumnRenamed("id", "frame_id").select("frame_id", r.alias("r"), angle.alias("a"), z.alias("z"))
     flat = F.col("r") * F.sqrt(1 - F.col("z") * F.col("z"))
     return base.select("frame_id", F.array(flat * F.cos("a"), flat * F.sin("a"), F.col("r") * F.col("z")).alias("data"))
 
@@ -57,14 +67,14 @@ def random_ball(spark: SparkSession, n: int, dims: int, seed: int) -> DataFrame:
 def random_gauss(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """A normal cloud in three dimensions that has 1% of its peak density at radius 1, cut off there."""
     sigma = 1 / math.sqrt(-2 * math.log(0.01))
-    raw = spark.range(2 * n + 1000).select("id", *[(F.randn(seed + k) * sigma).alias(f"x{k}") for k in range(3)])
+    raw = spark.range(2 * n + 1000).select("id", *[(normal(seed + k, "id") * sigma).alias(f"x{k}") for k in range(3)])
     inside = raw.where("x0 * x0 + x1 * x1 + x2 * x2 <= 1").orderBy("id").limit(n)
     return renumbered(inside.select(F.col("id").alias("frame_id"), F.array("x0", "x1", "x2").alias("data")))
 
 
 def sphere(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """Uniform on the unit sphere."""
-    base = spark.range(n).select(F.col("id").alias("frame_id"), (2 * F.rand(seed) - 1).alias("z"), (TAU * F.rand(seed + 1)).alias("a"))
+    base = spark.range(n).select(F.col("id").alias("frame_id"), (2 * uniform(seed, "id") - 1).alias("z"), (TAU * uniform(seed + 1, "id")).alias("a"))
     flat = F.sqrt(1 - F.col("z") * F.col("z"))
     return base.select("frame_id", F.array(flat * F.cos("a"), flat * F.sin("a"), F.col("z")).alias("data"))
 
@@ -193,7 +203,7 @@ def prototype_images(spark: SparkSession, n: int, side: int = 10, prototypes: in
     base = np.random.default_rng(seed).uniform(0, 100, (prototypes, side * side))
     table = spark.createDataFrame([(k, b.tolist()) for k, b in enumerate(base)], "label int, base array<double>")
     px = spark.range(n).select(F.col("id").alias("frame_id"), (F.col("id") % prototypes).cast("int").alias("label")).join(F.broadcast(table), "label")
-    px = px.select("frame_id", "label", F.posexplode("base").alias("pos", "v")).withColumn("v", F.col("v") + 2 * F.randn(seed))
+    px = px.select("frame_id", "label", F.posexplode("base").alias("pos", "v")).withColumn("cell", F.col("frame_id") * (side * side) + F.col("pos")).withColumn("v", F.col("v") + 2 * normal(seed, "cell"))
     return px.groupBy("frame_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("data")).select("frame_id", "data", "label")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,17 +12,22 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import analysis as A
+from ..functions.metric import l2
 from .leader import matrix
 from .stepper import FrameStepper, Step, Stopped
 
-EVALS = "array<struct<cluster_id:bigint,dist:double>>"
+EVALS = "array<struct<cluster_id:bigint,dist:double,prob:double,gprob:double,excluded:double>>"
 TRACE = "array<struct<event:string,cluster_id:bigint,value:double>>"
 MEMBER = f"frame_id long, cluster_id long, dist double, uid long, is_new boolean, predicted boolean, hit boolean, pruned long, entropy double, evals {EVALS}, trace {TRACE}"
 
 
+#: What a new cluster's own entry in evals has: it was not probed.
+_CREATED = (0.0, 0.0, 1.0)
+
+
 def member_batch(rows: list[tuple[int, Step, int]]) -> pa.RecordBatch:
     """Rows (frame, step, final cluster) with the columns of MEMBER."""
-    pair = pa.list_(pa.struct([("cluster_id", pa.int64()), ("dist", pa.float64())]))
+    probe = pa.list_(pa.struct([("cluster_id", pa.int64()), *[(c, pa.float64()) for c in ("dist", "prob", "gprob", "excluded")]]))
     event = pa.list_(pa.struct([("event", pa.string()), ("cluster_id", pa.int64()), ("value", pa.float64())]))
     steps = [s for _, s, _ in rows]
     return pa.RecordBatch.from_arrays(
@@ -29,7 +35,7 @@ def member_batch(rows: list[tuple[int, Step, int]]) -> pa.RecordBatch:
             pa.array([i for i, _, _ in rows], pa.int64()), pa.array([c for _, _, c in rows], pa.int64()), pa.array([s.dist for s in steps], pa.float64()),
             pa.array([s.cluster for s in steps], pa.int64()), pa.array([s.new for s in steps], pa.bool_()), pa.array([s.predicted for s in steps], pa.bool_()),
             pa.array([s.hit for s in steps], pa.bool_()), pa.array([s.pruned for s in steps], pa.int64()), pa.array([s.entropy for s in steps], pa.float64()),
-            pa.array([[{"cluster_id": c, "dist": d} for c, d in s.evals] for s in steps], pair),
+            pa.array([[(c, d, *p) for (c, d), p in zip_longest(s.evals, s.probes, fillvalue=_CREATED)] for s in steps], probe),
             pa.array([[{"event": e, "cluster_id": c, "value": v} for e, c, v in s.trace] for s in steps], event),
         ],
         names=["frame_id", "cluster_id", "dist", "uid", "is_new", "predicted", "hit", "pruned", "entropy", "evals", "trace"],
@@ -128,10 +134,24 @@ class Model:
         return A.cluster_metrics(self.membership)
 
     def all_distances(self) -> DataFrame:
-        """Every measured distance: frame_id, cluster_id (creation number), dist, and dist / rlim."""
+        """Every measured distance: frame_id, other_id (the anchor's frame), dist, ratio (dist / rlim), cluster_id, prob, gprob.
+
+        cluster_id is a creation number, -1 for a new anchor against the older ones, which the dense
+        mode measures unless a probe has; prob and gprob belong to probes.
+        """
         r = self.config.rlim
-        each = self.membership.select("frame_id", F.inline("evals"))
-        return each.withColumn("ratio", F.col("dist") / r if r > 0 else F.lit(-1.0))
+        new = self.membership.where("is_new").select(F.col("uid").alias("cluster_id"), F.col("frame_id").alias("other_id"))
+        probes = self.membership.select("frame_id", "is_new", F.inline("evals")).where("NOT (is_new AND excluded = 1 AND prob = 0)")
+        probes = probes.join(new, "cluster_id").select("frame_id", "other_id", "dist", "cluster_id", "prob", "gprob")
+        if not self.config.sparse_dcc:
+            at = new.join(self.frames.select(F.col("frame_id").alias("other_id"), "data"), "other_id")
+            one, two = at.alias("one"), at.alias("two")
+            between = one.join(two, F.col("one.cluster_id") > F.col("two.cluster_id")).select(
+                F.col("one.other_id").alias("frame_id"), F.col("two.other_id").alias("other_id"), l2(F.col("one.data"), F.col("two.data")).alias("dist")
+            )
+            between = between.join(probes.select("frame_id", "other_id"), ["frame_id", "other_id"], "left_anti")
+            probes = probes.unionByName(between.select("*", F.lit(-1).cast("long").alias("cluster_id"), F.lit(0.0).alias("prob"), F.lit(0.0).alias("gprob")))
+        return probes.withColumn("ratio", F.col("dist") / r if r > 0 else F.lit(-1.0))
 
     def discarded(self) -> DataFrame:
         """Frames whose cluster was evicted."""

@@ -34,6 +34,8 @@ class Step:
     predicted: bool = False
     hit: bool = False
     entropy: float = 0.0
+    #: For each probe: the cluster's prior, its geometric weight, and the share of clusters excluded before it.
+    probes: list[tuple[float, float, float]] = field(default_factory=list)
     trace: list[tuple[str, int, float]] = field(default_factory=list)
 
 
@@ -276,7 +278,8 @@ class FrameStepper:
             out.predicted = bool(listed)
             # beliefs change with each miss in these modes only; else the prior's order is all there is
             belief = c.entropy or c.gprob or c.xtile or c.soft_bayesian
-            active, post, left = np.ones(self.k, bool), prior.copy() if belief else prior, prior.copy()
+            active, post, left, alive = np.ones(self.k, bool), prior.copy() if belief else prior, prior.copy(), self.k
+            weight = np.ones(self.k) if c.gprob else None
             while True:
                 listed = [j for j in listed if active[j]]
                 if listed:
@@ -295,6 +298,7 @@ class FrameStepper:
                     t = int(on[np.argmax(post[on])])
                 d = self._distance(x, self.anchors[t], "dfc")
                 measured.append((t, d))
+                out.probes.append((float(prior[t]), 1.0 if weight is None else float(weight[t]), 1 - alive / self.k))
                 self.visits[t] += 1
                 if c.gprob:
                     self.visitors[t].append((self.frames, d))
@@ -307,6 +311,7 @@ class FrameStepper:
                 active[t] = False
                 gone = self._prune(measured, active)
                 out.pruned += gone
+                alive -= 1 + gone
                 if c.trace and gone:
                     out.trace.append(("prune", gone, d))
                 if not belief:
@@ -316,7 +321,9 @@ class FrameStepper:
                     for f, dk in list(self.visitors[t])[-c.maxvis - 1 : -1]:
                         s = self.assigned.get(f, -1)
                         if 0 <= s < self.k and active[s]:
-                            post[s] *= float(fmatch_np(abs(d - dk) / c.rlim, c.fmatcha, c.fmatchb))
+                            factor = float(fmatch_np(abs(d - dk) / c.rlim, c.fmatcha, c.fmatchb))
+                            post[s] *= factor
+                            weight[s] *= factor
                 if c.soft_bayesian:
                     sigma, exact = c.soft_bayesian_sigma * c.rlim, self.low[t, : self.k] == self.high[t, : self.k]
                     on = active & exact
@@ -327,13 +334,14 @@ class FrameStepper:
                 if active.any():
                     post = post / total if total > 0 else active / active.sum()
         out.new = found < 0
+        # by creation numbers, before a probed cluster is evicted
+        out.evals = [(self.uid[i], d) for i, d in measured]
         if out.new:
             found = self._create(x, measured)
-            measured.append((found, 0.0))
+            out.evals.append((self.uid[found], 0.0))
         elif not (c.pred or c.predf):
             self.prob[found] += c.dprob
         out.dist = 0.0 if out.new else measured[-1][1]
-        out.evals = [(self.uid[i], d) for i, d in measured]
         out.cluster = self.uid[found]
         self._record(found, out.dist)
         if c.sparse_dcc and c.sparse_dcc_extra_evals:

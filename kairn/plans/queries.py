@@ -326,6 +326,14 @@ def percentile_stretch(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.normalised(table(spark, d, "part"), "p_size"), "p_size_norm").select("p_partkey", "p_size_norm")
 
 
+@query("""WITH x AS (SELECT label, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT label, pos, avg(v) AS m FROM x GROUP BY 1, 2),
+c AS (SELECT label::BIGINT AS label, list(m ORDER BY pos) AS c FROM m GROUP BY 1)
+SELECT a.label AS i, b.label AS j, round(list_distance(a.c, b.c), 6) AS dist FROM c a, c b""")
+def centroid_distances(spark: SparkSession, d: str) -> DataFrame:
+    f, member, _ = labelled(spark, d)
+    return rounded(A.centroid_distances(A.centroids(f, member), A.cluster_counts(member)), "dist")
+
+
 @query("""WITH c AS (SELECT label AS cluster_id, avg(embedding[1])::DOUBLE AS x, avg(embedding[2])::DOUBLE AS y FROM (SELECT label, embedding::DOUBLE[] AS embedding FROM embeddings) GROUP BY 1),
 g AS (SELECT i % 40 AS gx, i // 40 AS gy FROM range(1600) r(i)), s AS (SELECT gx, gy, cluster_id, round((gx * (2.0::DOUBLE / 39) - 1 - x) * (gx * (2.0::DOUBLE / 39) - 1 - x) + (gy * (2.0::DOUBLE / 39) - 1 - y) * (gy * (2.0::DOUBLE / 39) - 1 - y), 9) AS d FROM g, c)
 SELECT gx, gy, arg_min(cluster_id, (d, cluster_id))::BIGINT AS cluster_id FROM s GROUP BY 1, 2""")
@@ -420,10 +428,10 @@ def tuple_counts(spark: SparkSession, d: str) -> DataFrame:
     return A.unique_tuples(TL.tuples(_tile_states(spark, d))).withColumn("tuple", F.array_join("tuple", ","))
 
 
-@query(f"""{_TILES} SELECT a.tile_id::INT AS src_tile, a.cluster_id AS src_cl, b.tile_id::INT AS dst_tile, b.cluster_id AS dst_cl, round(sum(pow(0.99, 499 - a.frame_id)), 6) AS weight
+@query(f"""{_TILES} SELECT a.tile_id::INT AS src_tile, a.cluster_id AS src_cl, b.tile_id::INT AS dst_tile, b.cluster_id AS dst_cl, round(sum(pow(0.99, (SELECT max(vec_id) FROM embeddings) - a.frame_id)), 6) AS weight
 FROM s a JOIN s b ON a.frame_id = b.frame_id AND a.tile_id <> b.tile_id GROUP BY 1, 2, 3, 4""")
 def cpt_decay(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.cross_tile_weights(_tile_states(spark, d), 0.99, 499), "weight")
+    return rounded(A.cross_tile_weights(_tile_states(spark, d), 0.99), "weight")
 
 
 # Generated sequences
@@ -518,6 +526,19 @@ def failed_probes(spark: SparkSession, d: str) -> DataFrame:
     return A.probe_statistics(fit(frames(spark, d), EngineConfig(rlim=RLIM, **WHOLE)), RLIM)[1]
 
 
+@query()
+def pruned_by_depth(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(A.pruned_by_depth(fit(frames(spark, d), EngineConfig(rlim=RLIM, **WHOLE))), "pruned_fraction")
+
+
+@query(f"{_LEAD} SELECT (SELECT count(*) FROM anc) * ((SELECT count(*) FROM anc) - 1) // 2 AS pairs")
+def dense_anchor_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """In dense mode each new anchor is measured against each older one, by a probe or for the table."""
+    model = cluster(frames(spark, d), EngineConfig(rlim=RLIM, **WHOLE))
+    new = model.membership.where("is_new").select("frame_id")
+    return model.all_distances().join(new, "frame_id", "left_semi").agg(F.count("*").alias("pairs"))
+
+
 @query()
 def run_telemetry(spark: SparkSession, d: str) -> DataFrame:
     return cluster(frames(spark, d), EngineConfig(rlim=RLIM, **WHOLE, pred=(2, 1000, 2))).telemetry()

@@ -169,16 +169,18 @@ def read_fits(spark: SparkSession, path: str) -> DataFrame:
 def read_png(spark: SparkSession, *paths: str) -> DataFrame:
     """Grey frames of PNG files, numbered in order of path."""
     files = spark.read.format("binaryFile").load(list(paths))
-    return _images(files.select("content", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("base")), decode_png)
+    # only the paths are put in order by one task; the contents stay where they are
+    order = files.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("base"))
+    return _images(files.select("path", "content").join(order, "path").select("content", "base"), decode_png)
 
 
 def read_png_list(spark: SparkSession, list_path: str) -> DataFrame:
     """Frames of the PNG files that a text file lists, one path a line, in that order."""
-    with open(list_path) as f:
-        paths = [p for line in f if (p := line.split("#")[0].strip())]
+    text = spark.read.text(list_path, wholetext=True).first()
+    paths = [p for line in (text[0] if text else "").splitlines() if (p := line.split("#")[0].strip())]
     order = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "name string, base long")
     files = spark.read.format("binaryFile").load(paths).select("content", F.regexp_replace("path", "^file:/*", "/").alias("name"))
-    return _images(files.join(F.broadcast(order), "name").select("content", "base"), decode_png)
+    return _images(files.join(order, "name").select("content", "base"), decode_png)
 
 
 def read_membership(spark: SparkSession, path: str) -> DataFrame:
@@ -199,6 +201,14 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("value RLIKE '^[A-Za-z_ ]+:'").select(F.trim(F.split("value", ":", 2)[0]).alias("key"), F.trim(F.split("value", ":", 2)[1]).alias("value"))
 
 
+def read_log_histogram(spark: SparkSession, path: str, block: str) -> DataFrame:
+    """The rows of numbers between `STATS_<block>_START` and `STATS_<block>_END` of a run log, as arrays."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    ends = lines.agg(F.max(F.when(F.col("line") == f"STATS_{block}_START", F.col("at"))).alias("low"), F.max(F.when(F.col("line") == f"STATS_{block}_END", F.col("at"))).alias("high"))
+    inside = lines.join(F.broadcast(ends), (F.col("at") > F.col("low")) & (F.col("at") < F.col("high")))
+    return inside.select(F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.cast("long")).alias("row"))
+
+
 def load_anchors(membership: DataFrame, frames: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """(cluster_id, anchor): the table given, or the first member of each cluster."""
     if anchors is not None:
