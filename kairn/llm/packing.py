@@ -1,8 +1,9 @@
 """Packing along a space-filling curve.
 
 Documents become hashed vectors of their words, are projected to a few dimensions and get the
-Hilbert key of their cell. Rows are range-sorted by key; each task tokenises its stretch of the
-curve and cuts it into sequences, so that neighbours in a sequence are neighbours on the curve.
+Hilbert key of their cell. The curve is cut into ranges of about equal bytes; each task sorts one by
+key, tokenises it and cuts it into sequences, so that neighbours in a sequence are neighbours on the
+curve.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .util import core
+from .util import core, lean
 
 SEQUENCE, END_ID = 2048, 1
 DIMS, BITS = 3, 10
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SPECIAL = "<|endoftext|>"
+#: Stretches of the curve whose bytes are counted, bytes of text in a range, and ranges at most (they grow beyond).
+BINS, RANGE_BYTES, MAX_RANGES = 1 << 12, 16 << 20, 50_000
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -77,8 +80,8 @@ def tokenizer(path: str, ranks_path: str | None = None, pattern: str | None = No
     """text -> uint32 ids of the tokenizers file at path, add_special_tokens=False.
 
     With the same vocabulary as ranks, tiktoken does the work, several times faster and with equal
-    ids (tests compare them); texts with the special token's string go to tokenizers, which reads it
-    as that token.
+    ids (tests compare them). Texts with the special token's string go to tokenizers, which reads it
+    as that token, and so do those that tiktoken's pattern can't match (very long runs of blanks).
     """
     from tokenizers import Tokenizer
 
@@ -94,7 +97,46 @@ def tokenizer(path: str, ranks_path: str | None = None, pattern: str | None = No
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: by_file(text) if SPECIAL in text else fast.encode_to_numpy(text, disallowed_special=())
+
+    def encode(text: str) -> np.ndarray:
+        if SPECIAL not in text:
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # its regular expression ran out of stack
+                pass
+        return by_file(text)
+
+    return encode
+
+
+def _bytes_by_bin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> bin of the curve, bytes of the texts in it."""
+    total = np.zeros(BINS, np.int64)
+    for batch in batches:
+        for part in K.chunks(batch):
+            t = K.Texts.of(part.column("text"))
+            np.add.at(total, curve_keys(t) >> (DIMS * BITS - 12), np.diff(t.at) + 1)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["bin", "bytes"])
+
+
+def ranges(total: np.ndarray, size: int, most: int = MAX_RANGES) -> tuple[np.ndarray, np.ndarray]:
+    """For each bin its first range and the number of ranges it is dealt over, so that ranges have about `size` bytes.
+
+    Small neighbouring bins share a range; a bin over `size` (many copies of one text) has ranges of its own.
+    """
+    size = max(size, -(-int(total.sum()) * 2 // most))
+    first, dealt, at, room = np.zeros(len(total), np.int64), np.ones(len(total), np.int64), 0, size
+    for b, n in enumerate(total.tolist()):
+        if n > room and room < size:
+            at, room = at + 1, size
+        first[b] = at
+        if n > size:
+            dealt[b] = -(-n // size)
+            at += int(dealt[b])
+        else:
+            room -= n
+    return first, dealt
 
 
 def tail_lengths(n: int) -> list[int]:
@@ -139,16 +181,26 @@ def pack(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str
     """Pieces of all documents in sequences of at most 2048 ids, without padding.
 
     A document is its ids and then id 1; a null or empty text is that id alone. Returns doc_id,
-    start, length, ids_crc32, doc_tokens, sequence_id, offset. Texts are shuffled once, by curve key
-    and id (which splits ties and copies), and tokenised after that. Each range of the curve ends in
-    sequences with lengths of powers of two. Repeated rows and null ids are documents of their own.
+    start, length, ids_crc32, doc_tokens, sequence_id, offset. A first scan counts bytes along the
+    curve, BINS sums in all; ranges of RANGE_BYTES follow from them, and a bin that holds more is dealt
+    by id. Texts are shuffled once, to their range, sorted by curve key and id (which splits ties and
+    copies), and tokenised there. Each range ends in sequences with lengths of powers of two. Repeated
+    rows and null ids are documents of their own. A very long text is one task's, and is tokenised whole.
     """
+    texts = core(docs, "doc_id", "text")
+    counted = texts.select("text").mapInArrow(lean(_bytes_by_bin), "bin int, bytes long").groupBy("bin").agg(F.sum("bytes").alias("bytes")).collect()
+    total = np.zeros(BINS, np.int64)
+    for r in counted:
+        total[r["bin"]] = r["bytes"]
+    first, dealt = ranges(total, RANGE_BYTES)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.chunks(batch):
-                key = pa.array(curve_keys(K.Texts.of(part.column("text"))))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), key], names=["doc_id", "text", "key"])
+                key, ids = curve_keys(K.Texts.of(part.column("text"))), part.column("doc_id").fill_null(-1).to_numpy()
+                at = key >> (DIMS * BITS - 12)
+                where = first[at] + (K.mix(ids.view(np.uint64)) % dealt[at].astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(key), pa.array(where, pa.int32())], names=["doc_id", "text", "key", "part"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -170,6 +222,6 @@ def pack(docs: DataFrame, path: str, ranks_path: str | None = None, pattern: str
         if rows:
             yield made(rows)
 
-    keyed = core(docs, "doc_id", "text").mapInArrow(keys, "doc_id long, text string, key long")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartitionByRange(parts, F.col("key"), F.col("doc_id")).sortWithinPartitions("key", "doc_id").mapInArrow(cut, SCHEMA)
+    keyed = texts.mapInArrow(lean(keys), "doc_id long, text string, key long, part int")
+    dealt_rows = keyed.repartitionById(int((first + dealt).max()), F.col("part"))
+    return dealt_rows.sortWithinPartitions("key", "doc_id").select("doc_id", "text").mapInArrow(lean(cut), SCHEMA)
