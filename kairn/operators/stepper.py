@@ -61,6 +61,8 @@ class FrameStepper:
         self.merged: dict[int, int] = {}
         self.boost: np.ndarray | None = None
         self.joint: list[int] = []
+        #: Priors from a joint prediction, in place of the stepper's own.
+        self.given: np.ndarray | None = None
 
     # growth
 
@@ -271,6 +273,8 @@ class FrameStepper:
         found = -1
         if self.k:
             prior = self._priors()
+            if self.given is not None and len(self.given) == self.k:
+                prior = self.given.copy()
             if self.boost is not None and len(self.boost) == self.k:
                 prior = prior * self.boost
                 prior = prior / prior.sum() if prior.sum() > 0 else self.prob[: self.k].copy()

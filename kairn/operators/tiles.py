@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import math
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,29 +64,86 @@ def tuples(states: DataFrame) -> DataFrame:
     return states.groupBy("frame_id").agg(F.transform(each, lambda s: s["cluster_id"].cast("long")).alias("tuple"))
 
 
+class History:
+    """The last joint states of a stream, and where each tile had each cluster: an inverted index."""
+
+    def __init__(self, tiles: int, keep: int):
+        self.tiles, self.keep = tiles, keep
+        self.clear()
+
+    def clear(self) -> None:
+        self.n, self.low, self._rows = 0, 0, np.zeros((64, self.tiles), np.int64)
+        self._places: dict[tuple[int, int], list[int]] = {}
+
+    def append(self, row: Iterable[int]) -> None:
+        if self.n - self.low == len(self._rows):
+            gone = max(0, self.n - self.keep - self.low)
+            rows = np.zeros((max(64, 2 * (self.n - self.low - gone)), self.tiles), np.int64)
+            rows[: self.n - self.low - gone] = self._rows[gone : self.n - self.low]
+            self._rows, self.low = rows, self.low + gone
+            self._places = {k: left for k, v in self._places.items() if (left := v[bisect.bisect_left(v, self.low) :])}
+        self._rows[self.n - self.low] = row
+        for m, u in enumerate(row):
+            self._places.setdefault((m, int(u)), []).append(self.n)
+        self.n += 1
+
+    def extend(self, rows: Iterable[Iterable[int]]) -> None:
+        for row in rows:
+            self.append(row)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The states at these places, which have to be among the last `keep`."""
+        return self._rows[places - self.low]
+
+    def places(self, tile: int, cluster: int, start: int) -> list[int]:
+        """Where a tile had a cluster, from `start` on, in order."""
+        found = self._places.get((tile, cluster), [])
+        return found[bisect.bisect_left(found, start) :]
+
+
 class JointStepper:
     """All tiles of one stream, frame by frame, with joint prediction, second pass and cross-tile priors.
 
     Tiles are taken in order of their ids, so results don't depend on timing.
     """
 
+    #: Below this share of its tile's frames, the rarest of the last clusters makes a search of the whole
+    #: horizon worth its while; else SHORT states are searched. Exponents over FAR count as no match.
+    RARE, SHORT, FAR = 0.08, 100, 10.0
+
     def __init__(self, config: EngineConfig, tiles: Tiles, overrides: dict[int, EngineConfig] | None = None):
         self.c, self.tiles = config, {t: np.array(px) for t, px in tiles.items()}
         self.steppers = {t: FrameStepper((overrides or {}).get(t, config)) for t in tiles}
-        self.window: deque[tuple[int, ...]] = deque(maxlen=config.retrieval_window)
+        length, horizon, _ = config.pred or (0, 0, 0)
+        self.window = History(len(tiles), max(config.retrieval_window, horizon) + length + 1)
         self.cpt: dict[tuple[int, int, int, int], float] = {}
         self.scale = 1.0
 
     def _scores(self, tile: int, known: dict[int, int]) -> np.ndarray | None:
-        """Weights of a tile's clusters from past tuples that agree with all known tiles and follow a tuple equal to the last one."""
-        s, order = self.steppers[tile], list(self.tiles)
+        """Weights of a tile's clusters from past tuples that agree with all known tiles and follow a tuple equal to the last one.
+
+        The rarest of the clusters that have to agree gives the places to look at.
+        """
+        s, order, past = self.steppers[tile], list(self.tiles), self.window
+        start = max(past.low, len(past) - self.c.retrieval_window)
+        if not len(past):
+            return None
+        last = past.at(np.array([len(past) - 1]))[0]
+        lists = [past.places(order.index(t), c, start) for t, c in known.items()]
+        lists += [[p + 1 for p in past.places(m, int(u), max(start - 1, past.low)) if p + 1 < len(past)] + [0] * (start == 0) for m, u in enumerate(last)]
+        at = np.array(sorted(set(min(lists, key=len))), np.int64)
+        rows = past.at(at)
+        for t, c in known.items():
+            at, rows = at[rows[:, order.index(t)] == c], rows[rows[:, order.index(t)] == c]
+        before = past.at(np.maximum(at - 1, past.low))
+        rows = rows[(at == 0) | (before == last).all(axis=1)]
         weight = np.zeros(s.k)
-        past = list(self.window)
-        for i, row in enumerate(past):
-            w = all(row[order.index(t)] == c for t, c in known.items()) and (i == 0 or past[i - 1] == past[-1])
-            own = row[order.index(tile)]
-            if w and own in s.uid:
-                weight[s.uid.index(own)] += w
+        for u, n in zip(*np.unique(rows[:, order.index(tile)], return_counts=True), strict=True):
+            if u in s.uid:
+                weight[s.uid.index(u)] = n
         if not weight.any():
             return None
         return (weight + 0.01) / (weight.sum() + 0.01 * s.k)
@@ -100,24 +157,59 @@ class JointStepper:
                 p *= (row + 0.01) / (row.sum() + 0.01 * s.k)
         return p / p.sum() if len(known) and p.sum() > 0 else None
 
-    def _joint_prediction(self, tile: int) -> list[int]:
-        spec = self.c.pred
-        if not spec or len(self.window) <= spec[0]:
-            return []
-        length, horizon, n = spec
-        past, at, found = list(self.window), list(self.tiles).index(tile), {}
-        for t in range(max(length, len(past) - horizon), len(past)):
-            if past[t - length : t] == past[-length:]:
-                found[past[t][at]] = found.get(past[t][at], 0) + 1
-        uid = self.steppers[tile].uid
-        return [uid.index(u) for u in sorted(found, key=lambda u: (-found[u], u))[:n] if u in uid]
+    def _predicted(self) -> dict[int, tuple[np.ndarray, list[int]]]:
+        """For each tile: priors of its clusters and the likeliest ones, from what followed stretches of states like the last.
+
+        A stretch of L states weighs exp(-e / (0.632 L)), where e sums the distances of its anchors to
+        the last stretch's in radii, over all tiles; older states count less, by 1 - 1 / L a step. Only
+        stretches are looked at whose last state is near in the tile with the rarest cluster: the index
+        gives their places. Too short a history gives uniform priors.
+        """
+        length, horizon, n = self.c.pred
+        past, order, steppers = self.window, list(self.tiles), list(self.steppers.values())
+        if len(past) < length:
+            return {t: (np.full(s.k, 1 / s.k), []) for t, s in self.steppers.items() if s.k}
+        number = [np.full(s.next_uid + 1, -1) for s in steppers]
+        for own, s in zip(number, steppers, strict=True):
+            own[s.uid] = np.arange(s.k)
+        recent = past.at(np.arange(len(past) - length, len(past)))
+        recent = np.stack([number[m][recent[:, m]] for m in range(len(order))], axis=1)
+        share = [s.prob[i] / s.prob[: s.k].sum() if i >= 0 else 0.0 for s, i in zip(steppers, recent[-1], strict=True)]
+        best = int(np.argmin([v if i >= 0 else 2.0 for v, i in zip(share, recent[-1], strict=True)]))
+        horizon = self.SHORT if min(share) > self.RARE else horizon
+        stop, start = len(past) - length, max(length, past.low + length, min(len(past) - horizon, len(past) - length))
+        at = np.arange(start, stop)
+        if recent[-1, best] >= 0 and len(at):
+            s = steppers[best]
+            near = np.flatnonzero(s.high[recent[-1, best], : s.k] <= 2 * s.c.rlim)
+            at = np.array(sorted(p + 1 for i in near for p in past.places(best, s.uid[i], start - 1) if p + 1 < stop), np.int64)
+        exponent = np.zeros(len(at))
+        for j in range(length):
+            row, each = past.at(at - length + j) if len(at) else np.zeros((0, len(order)), np.int64), np.zeros(len(at))
+            for m, s in enumerate(steppers):
+                own = number[m][row[:, m]]
+                if recent[j, m] >= 0 and s.k:
+                    far = s.high[recent[j, m], np.maximum(own, 0)]
+                    each += np.where(own >= 0, far / s.c.rlim, 0.0)
+            exponent += (1 - 1 / length) ** (length - 1 - j) * each
+        score = np.where(exponent <= self.FAR, np.exp(-exponent / (length * (1 - math.exp(-1)))), 0.0)
+        after, out = past.at(at) if len(at) else np.zeros((0, len(order)), np.int64), {}
+        for m, (t, s) in enumerate(self.steppers.items()):
+            if not s.k:
+                continue
+            own = number[m][after[:, m]]
+            total = np.bincount(own[own >= 0], score[own >= 0], s.k)
+            listed = np.lexsort((np.arange(s.k), -total))[:n]
+            out[t] = ((total + 0.01) / (total + 0.01).sum(), listed.tolist())
+        return out
 
     def step(self, x: np.ndarray) -> dict[int, Step]:
         out: dict[int, Step] = {}
         known: dict[int, int] = {}
+        ahead = self._predicted() if self.c.pred else {}
         for t, px in self.tiles.items():
             s = self.steppers[t]
-            s.joint = self._joint_prediction(t)
+            s.given, s.joint = ahead.get(t, (None, []))
             s.boost = (self._cross(t, known) if self.c.xtile == 1 else self._scores(t, known)) if self.c.xtile and s.k else None
             out[t] = s.step(x[px])
             known[t] = out[t].cluster

@@ -11,7 +11,7 @@ from kairn.functions import ordered
 from kairn.operators.cluster import cluster, fit
 from kairn.operators.knn import Search, knn, knn_brute
 from kairn.operators.leader import assign, leader_anchors
-from kairn.operators.tiles import JointStepper, fit_tiles, tuples
+from kairn.operators.tiles import History, JointStepper, fit_tiles, tuples
 from kairn.plans import queries as Q
 from kairn.sources import files, sinks
 from kairn.streaming.fit import STORE, fit_stream, missed_frames
@@ -167,3 +167,47 @@ def test_tuple_scores_are_products_of_exact_matches():
     assert joint._scores(1, {0: 0}) == pytest.approx([1.01 / 1.02, 0.01 / 1.02])
     joint.window.append((0, 1))
     assert joint._scores(0, {1: 7}) is None
+
+
+def test_joint_history():
+    """The index and the ring give what a plain list gives."""
+    rng, h, rows = np.random.default_rng(2), History(3, 50), []
+    for n in range(400):
+        row = tuple(int(v) for v in rng.integers(0, 4, 3))
+        h.append(row), rows.append(row)
+        low = max(0, n + 1 - 50)
+        assert h.low <= low and len(h) == n + 1
+        assert [tuple(r) for r in h.at(np.arange(low, n + 1)).tolist()] == rows[low:]
+        m, u = n % 3, n % 4
+        assert h.places(m, u, low) == [i for i in range(low, n + 1) if rows[i][m] == u]
+
+
+def test_joint_prediction_weighs_near_stretches():
+    """A stretch one cluster off weighs by anchor distances; what followed it is the likeliest next state."""
+    c = EngineConfig(rlim=0.5, pred=(2, 100, 2))
+    joint = JointStepper(c, {0: [0], 1: [1]})
+    for x in ([0.0, 0.0], [0.6, 0.6], [5.0, 5.0], [9.0, 9.0]):
+        joint.step(np.array(x))
+    joint.window.clear()
+    past = [(0, 0), (1, 0), (2, 2), (3, 3), (3, 3), (0, 0), (0, 0)]
+    joint.window.extend(past)
+    got = joint._predicted()
+    high = [s.high for s in joint.steppers.values()]
+    total = np.zeros((2, 4))
+    for s in range(2, len(past) - 2):
+        if high[0][past[-1][0], past[s - 1][0]] > 1.0:
+            continue
+        e = sum(0.5 ** (1 - j) * sum(high[m][past[-2 + j][m], past[s - 2 + j][m]] / 0.5 for m in range(2)) for j in range(2))
+        for m in range(2):
+            total[m, past[s][m]] += np.exp(-e / (2 * (1 - np.exp(-1)))) * (e <= 10)
+    for m in range(2):
+        assert np.allclose(got[m][0], (total[m] + 0.01) / (total[m] + 0.01).sum()) and got[m][1][0] == 2
+
+
+def test_joint_prediction_of_a_cycle():
+    """Two tiles that go round together: once the cycle is known, the first probe is right."""
+    t = np.arange(400) % 8
+    x = np.c_[np.cos(t), np.sin(t), np.cos(3 * t), np.sin(3 * t)]
+    plain, known = (JointStepper(EngineConfig(rlim=0.05, **o), {0: [0, 1], 1: [2, 3]}) for o in ({}, {"pred": (2, 200, 1)}))
+    probes = [[sum(len(o.evals) for o in j.step(r).values()) for r in x] for j in (plain, known)]
+    assert sum(probes[1][100:]) == 2 * 300 < sum(probes[0][100:])
