@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .metric import l2
-from .ordered import lagged, running_sum
+from .ordered import lagged, running_sum, span_width
 
 
 def sequential_distances(frames: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -167,9 +167,9 @@ def pattern_successors(membership: DataFrame, length: int, horizon: int, order:
     """
     ids = [f"_p{k}" for k in range(1, length + 1)]
     df = membership.select(order, "cluster_id")
-    last = "cluster_id"
+    last, width = "cluster_id", span_width(df, order)
     for name in ids:
-        df = lagged(df, {last: name}, order)
+        df = lagged(df, {last: name}, order, width=width)
         last = name
     gram = df.where(F.col(ids[-1]).isNotNull()).select(order, "cluster_id", F.concat_ws(",", *[F.col(c) for c in ids]).alias("gram"))
     # Occurrences meet by stretch of `horizon` frames, the own and the one before: pairs grow with the input, not its square.

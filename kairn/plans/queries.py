@@ -19,7 +19,7 @@ from ..operators import leader as L
 from ..operators import tiles as TL
 from ..operators.cluster import cluster, fit
 from ..operators.embed import embed, tune
-from ..operators.knn import Search, knn, knn_brute, padded
+from ..operators.knn import Search, knn, knn_brute, knn_telemetry, padded
 from ..sources.tables import column_frames, first_frames, vector_frames
 
 RLIM = 1.2
@@ -203,6 +203,13 @@ def knn_rlim(spark: SparkSession, d: str) -> DataFrame:
     return _pruned(spark, d, Search(k=6, rlim=1.25))
 
 
+@query("SELECT count(*) AS queries FROM embeddings")
+def knn_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Of a search's counters, the number of queries; the others depend on rounding and have a test."""
+    f, anchors, member = _nearest(spark, d)
+    return knn_telemetry(f, member, anchors, Search(k=5)).select("queries")
+
+
 @query()
 def knn_eps(spark: SparkSession, d: str) -> DataFrame:
     return _pruned(spark, d, Search(k=5, eps=0.1))

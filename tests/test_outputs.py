@@ -10,7 +10,7 @@ from kairn.config import EngineConfig
 from kairn.functions import analysis as A
 from kairn.functions import generators as G
 from kairn.operators.cluster import cluster
-from kairn.operators.knn import Search, knn, padded
+from kairn.operators.knn import Search, knn, knn_telemetry, padded
 from kairn.sources import files, sinks
 
 
@@ -115,3 +115,26 @@ def test_streams_in_one_task(spark):
     for k in range(5):
         own = frames.where(F.col("who") == k).drop("who")
         assert {r.frame_id: (r.cluster_id, r.dist) for r in C.fit(own, EngineConfig(rlim=2.0)).collect()} == {i: v for (w, i), v in both.items() if w == k}
+
+
+def test_sparse_orders(spark, monkeypatch):
+    """Sparse, negative and dense order values give the same previous rows, in few spans."""
+    from kairn.functions import ordered as O
+
+    monkeypatch.setattr(O, "SPAN", 10)
+    rng = np.random.default_rng(5)
+    for values in (np.arange(200), np.sort(rng.choice(10**12, 200, replace=False)) - 10**11, np.array([5])):
+        df = spark.createDataFrame([(int(v), i) for i, v in enumerate(values)], "frame_id long, n int")
+        assert len(values) / 10 - 1 <= (int(values[-1]) - int(values[0])) // O.span_width(df, "frame_id") + 1 <= len(values) / 10 + 2
+        assert [r.p for r in O.lagged(df, {"n": "p"}).orderBy("frame_id").collect()] == [None, *range(len(values) - 1)]
+        assert [r.s for r in O.running_sum(df, F.col("n"), "s").orderBy("frame_id").collect()] == np.cumsum(np.arange(len(values))).tolist()
+    assert O.lagged(df.limit(0), {"n": "p"}).count() == 0
+
+
+@pytest.mark.parametrize("search", [Search(k=2), Search(k=2, dtmin=5, past=True), Search(k=3, rlim=0.1)])
+def test_knn_counters(model, search):
+    t = knn_telemetry(model.frames, model.membership, model.anchors(), search).first()
+    k = model.counts().count()
+    assert t.queries == 300 and t.visits + t.clusters_pruned == 300 * k and 0 < t.visits
+    assert t.pairs == t.temporal_pruned + t.annular_pruned + t.distances and t.distances >= knn(model.frames, model.membership, model.anchors(), search).count()
+    assert t.distances < 300 * 299 and t.temporal_pruned >= 300 * (search.dtmin == 0)
