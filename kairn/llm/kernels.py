@@ -1,8 +1,8 @@
 """Array kernels over batches of texts: words, 64-bit hashes, n-grams, lines.
 
 Texts are handled as UTF-8 bytes taken from Arrow buffers. All separators are ASCII, so bytes and
-code points give the same words. Hashes are polynomials modulo 2**64 over random byte codes, mixed
-at the end; they depend on the bytes alone, never on the process.
+code points give the same words. Hashes mix eight bytes at a time; those of long spans and of n-grams
+are polynomials modulo 2**64, mixed at the end. They depend on the bytes alone, never on the process.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ _WORD_BASE = 0xD6E8FEB86659FD93
 _WORD_BASE_INV = pow(_WORD_BASE, -1, 2**64)
 #: Texts of this many bytes are worked on together; a longer text is worked on alone and whole.
 CHUNK = 1 << 19
+#: Spans of more bytes are hashed by running sums over all bytes.
+LONG = 64
+#: The lowest k bytes of eight.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -57,6 +61,7 @@ class Texts:
         self.data, self.at = data, at
         self.n = len(at) - 1
         self._sums: np.ndarray | None = None
+        self._eight: np.ndarray | None = None
 
     @classmethod
     def of(cls, column: pa.Array) -> Texts:
@@ -86,7 +91,29 @@ class Texts:
         return starts, np.flatnonzero(w & ~after) + 1, np.searchsorted(starts, self.at)
 
     def spans_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of the bytes of each span."""
+        """A hash of the bytes of each span: eight bytes at a time, long spans from running sums."""
+        size = ends - starts
+        if len(size) and size.max() > LONG:
+            out, long = np.empty(len(size), U64), size > LONG
+            out[long] = self._long_hash(starts[long], ends[long])
+            out[~long] = self._short_hash(starts[~long], size[~long])
+            return out
+        return self._short_hash(starts, size)
+
+    def _short_hash(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        if self._eight is None:
+            padded = np.append(self.data, np.zeros(8, np.uint8))
+            self._eight = np.ndarray(len(self.data) + 1, "<u8", padded, 0, (1,))
+        out = mix(left.astype(U64) ^ (self._eight[at] & _LOWEST[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        at, left = at[more] + 8, left[more] - 8
+        while len(more):
+            out[more] = mix(out[more] ^ (self._eight[at] & _LOWEST[np.minimum(left, 8)]))
+            on = left > 8
+            more, at, left = more[on], at[on] + 8, left[on] - 8
+        return out
+
+    def _long_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if self._sums is None:
             n = len(self.data)
             self._sums = np.zeros(n + 1, U64)
