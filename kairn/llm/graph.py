@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import group_back, stash
+from .util import group_back, lean, stash
 
 
 #: Edges that one task finishes by itself; more go through distributed rounds.
 FEW = 100_000
+#: Rows of one side of a block of pairs.
+SQUARE = 1000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,11 +54,11 @@ def components(edges: DataFrame) -> DataFrame:
     followed to their ends by doubling, and edges are renamed to roots. Every component that has an
     edge left at least halves in roots, so rounds are logarithmic. All tables stay distributed.
     """
-    edges = stash(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long").distinct(), "edges")
+    edges = stash(edges.where("a <> b").select("a", "b").mapInArrow(lean(_forest), "a long, b long").distinct(), "edges")
     label = None
     while n := edges.count():
         if n <= FEW:
-            star = edges.repartition(1).mapInArrow(_forest, "a long, b long")
+            star = edges.repartition(1).mapInArrow(lean(_forest), "a long, b long")
             star = star.select(F.col("b").alias("node"), F.col("a").alias("up"))
             star = stash(star.unionByName(star.select(F.col("up").alias("node"), "up").distinct()), "star")
             return _renamed(label, star)
@@ -72,53 +74,24 @@ def components(edges: DataFrame) -> DataFrame:
         one = parent.select(F.col("node").alias("a"), F.col("up").alias("ra"))
         two = parent.select(F.col("node").alias("b"), F.col("up").alias("rb"))
         edges = edges.join(one, "a").join(two, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        edges = stash(edges.where("a <> b").mapInArrow(_forest, "a long, b long").distinct(), "edges")
+        edges = stash(edges.where("a <> b").mapInArrow(lean(_forest), "a long, b long").distinct(), "edges")
     if label is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return label
 
 
-def connect(
-    lists: DataFrame,
-    facts: list[str],
-    close: Callable[[str, str], str],
-    apart: Callable[[str, str], str],
-    verify: Callable[[DataFrame], DataFrame],
-    links: DataFrame | None = None,
-) -> DataFrame:
-    """Components of all pairs that share a key of `lists` (key, id, facts) and are verified links.
-
-    close and apart are SQL on facts of two rows: whether a link is possible, and how far apart they
-    are. verify takes candidate pairs (a, b), a < b, and returns those that link. `links` are known.
-
-    Only connectivity is wanted. A first round checks every id with the nearest of its keys' hubs (a
-    hub is one id of a key's list, by hash). Lists within one component need nothing more. A second
-    round checks all ids of the other lists with their list's hub, and the third round every pair of a
-    list that is still in two components and may be close. So a group of near copies costs a few
-    checks for each member, not one for each pair, and no link is lost.
+def cells_of_pairs(rest: DataFrame) -> DataFrame:
+    """Rows of lists (key, id, component, ...) dealt into cells (key, i, j) of SQUARE rows of either side.
+
+    `top` is the component of a row by hash, likely the list's largest. Every row outside it (side 1)
+    meets all rows (side 2) of its list in one cell, so that pairs within `top` cost nothing.
     """
-    hub = F.struct(F.xxhash64("id", "key").alias("o"), "id", *facts)
-    near = group_back(lists, ["key"], {"hub": (F.min(hub), "min")}, F.col("id")).where("id <> hub.id")
-    near = near.select(F.struct("id", *facts).alias("x"), F.col("hub").alias("y")).where(close("x", "y"))
-    best = near.groupBy(F.col("x.id").alias("a")).agg(F.min(F.struct(F.expr(apart("x", "y")).alias("d"), F.col("y.id").alias("b"))).alias("m"))
-    pairs = best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
-    found = verify(stash(pairs, "pairs"))
-    found = stash(found if links is None else links.unionByName(found), "links")
-    comp = components(found)
-
-    def open_lists(comp: DataFrame) -> DataFrame:
-        """The lists whose ids are in more than one component."""
-        named = lists.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        low_high = {"low": (F.min("component"), "min"), "high": (F.max("component"), "max")}
-        return stash(group_back(named, ["key"], low_high, F.col("id"), having=F.expr("low < high")).drop("low", "high"), "rest")
-
-    hub = F.struct(F.xxhash64("id", "key", F.lit(2)).alias("o"), "id", "component", *facts)
-    near = group_back(open_lists(comp), ["key"], {"hub": (F.min(hub), "min")}, F.col("id")).where("component <> hub.component")
-    near = near.select(F.struct("id", *facts).alias("x"), F.col("hub").alias("y")).where(close("x", "y"))
-    pairs = near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    found = stash(found.unionByName(verify(stash(pairs, "pairs"))), "links")
-    rest = open_lists(components(found))
-    x, y = rest.alias("x"), rest.alias("y")
-    both = x.join(y, F.expr(f"x.key = y.key AND x.id < y.id AND x.component <> y.component AND {close('x', 'y')}"))
-    pairs = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return components(found.unionByName(verify(stash(pairs, "pairs"))))
+    by_hash = F.struct(F.xxhash64("id", "key", F.lit(3)).alias("o"), "component")
+    rest = group_back(rest, ["key"], {"by": (F.min(by_hash), "min")}, F.col("id")).withColumn("top", F.col("by.component")).drop("by")
+    counts = {"n": (F.count("*"), "sum"), "odd": (F.sum(F.expr("CAST(component <> top AS BIGINT)")), "sum")}
+    rest = group_back(rest, ["key"], counts, F.col("id"), having=F.expr("odd > 0"))
+    rest = rest.withColumn("rows", F.expr(f"(n - 1) div {SQUARE} + 1")).withColumn("odds", F.expr(f"(odd - 1) div {SQUARE} + 1"))
+    x = rest.where("component <> top").withColumn("i", F.expr("pmod(xxhash64(id, 6), odds)")).withColumn("j", F.explode(F.expr("sequence(0L, rows - 1)")))
+    y = rest.withColumn("j", F.expr("pmod(xxhash64(id, 5), rows)")).withColumn("i", F.explode(F.expr("sequence(0L, odds - 1)")))
+    drop = ["n", "odd", "rows", "odds"]
+    return x.withColumn("side", F.lit(1)).drop(*drop).unionByName(y.withColumn("side", F.lit(2)).drop(*drop))

@@ -12,10 +12,10 @@ elements share ceil(t * m) of them.
 * The boundary is the size with the smallest cost: rows enumerated, plus rows and expected list
   lengths for the heavy sets, from the histogram of sizes.
 
-Keys that occur once go first. Pairs in a list are checked by size and by 256-bit parity bitmaps
-(their distance bounds the symmetric difference from below, so no link is lost), then by bitmaps as
-long as the sets, then exactly on the sets. Only connectivity is wanted, so a first round links every set to the nearest of its keys' hubs;
-pairs already in one component need no check, and a second round checks all other pairs.
+Rows of a list are near by size and by 256-bit parity bitmaps (their distance bounds the symmetric
+difference from below, so no link is lost); near pairs are checked by bitmaps as long as the sets,
+then exactly on the sets. Only connectivity is wanted: each set meets the nearest before it in its
+lists, then near pairs of different components meet.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .graph import connect
-from .util import Sieve, core, group_back, packed, stash
+from .graph import components
+from .lists import PARTS, Dealer, Facts, Nearness, link, nearest_rows, tasks_of
+from .util import Sieve, core, group_back, lean, packed, stash
 
 #: Slots of the frequency sketch, and slots in one row of it.
 SKETCH, ROW = 1 << 21, 1 << 14
@@ -52,10 +53,15 @@ def shingle_sets(t: K.Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
     grams = K.ngram_hash(w, n)
     inside = np.arange(len(grams)) + n <= at[1:][text[: len(grams)]]
     owner, value = text[: len(grams)][inside], grams[inside]
-    for i in np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < n)):
-        own = w[at[i] : at[i + 1]]
-        owner, value = np.append(owner, i), np.append(value, K.ngram_hash(own, len(own)) ^ np.uint64(len(own)))
-    order = np.lexsort((value, owner))
+    for size in range(1, n):
+        short = np.flatnonzero(np.diff(at) == size)
+        if len(short):
+            whole = K.ngram_hash(w[at[short][:, None] + np.arange(size)].ravel(), size)[::size]
+            owner, value = np.append(owner, short), np.append(value, whole ^ np.uint64(size))
+    if t.n < 1 << 20:  # by text and the upper bits of the hash, in one number
+        order = np.argsort((owner.astype(np.uint64) << np.uint64(44)) | (value >> np.uint64(20)))
+    else:
+        order = np.lexsort((value, owner))
     owner, value = owner[order], value[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
@@ -90,7 +96,7 @@ def corpus_sketch(texts: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int]]
     Both have a fixed size, whatever the corpus: SKETCH bytes, and ROW sizes (the last: or larger).
     """
     kind = "slot int, part int, counts binary"
-    summed = texts.mapInArrow(_sketch(n), kind).groupBy("slot", "part").applyInArrow(_sum_sketch, kind)
+    summed = texts.mapInArrow(lean(_sketch(n)), kind).groupBy("slot", "part").applyInArrow(_sum_sketch, kind)
     rows = summed.groupBy("slot").applyInArrow(_sum_sketch, kind).collect()
     counts = np.zeros(SKETCH + ROW, np.int64)
     for r in rows:
@@ -186,65 +192,103 @@ def _bitmaps_close(percent: int):
     return run
 
 
-def _class_rows(n: int, percent: int, levels: np.ndarray | None, limit: int):
+def rarest(value: np.ndarray, at: np.ndarray, level: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, element) of the `count` rarest elements of each set: by level, then by hash."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((value, level, owner)) if len(at) > 1 << 20 else np.argsort((owner.astype(np.uint64) << np.uint64(44)) | (level.astype(np.uint64) << np.uint64(38)) | (value >> np.uint64(26)))
+    take = order[np.arange(len(order)) - at[:-1][owner] < count[owner]]
+    return owner[take], value[take]
+
+
+def _class_rows(n: int, percent: int, levels: np.ndarray, limit: int):
     """doc_id, text -> doc_id, size, k1, k2, bitmap, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.chunks(batch):
                 value, at = shingle_sets(K.Texts.of(part.column("text")), n)
-                keys = []
-                order_key = levels[(value >> np.uint64(43)).astype(np.int64)]
-                for a, b in zip(at, at[1:], strict=False):
-                    own, size = value[a:b], int(b - a)
-                    mine: list[int] = []
-                    if size and size <= limit:
-                        mine += subset_keys(own, percent, limit)
-                    if size and (size > limit or 100 * size >= percent * (limit + 1)):
-                        k = size - need(size, percent) + 1
-                        mine += own[np.lexsort((own, order_key[a:b]))[:k]].view(np.int64).tolist()
-                    keys.append(mine)
+                size = np.diff(at)
+                listed = (size > limit) | (100 * size >= percent * (limit + 1))
+                owner, key = rarest(value, at, levels[(value >> np.uint64(43)).astype(np.int64)], np.where(listed, size + percent * size // -100 + 1, 0))
+                light = [(i, subset_keys(value[at[i] : at[i + 1]], percent, limit)) for i in np.flatnonzero((size > 0) & (size <= limit))]
+                owner = np.concatenate([owner, *[np.full(len(k), i) for i, k in light]]).astype(np.int64)
+                key = np.concatenate([key.view(np.int64), *[np.array(k, np.int64) for _, k in light]])
+                order = np.argsort(owner, kind="stable")
+                ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(size)))).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(at), pa.int64()), *[pa.array(x) for x in _digest(value, at)], pa.array(keys, pa.list_(pa.int64())), pa.array(_long_bitmaps(value, at), pa.binary())],
+                    [part.column("doc_id"), pa.array(size, pa.int64()), *[pa.array(x) for x in _digest(value, at)], keys, pa.array(_long_bitmaps(value, at), pa.binary())],
                     names=["doc_id", "size", "k1", "k2", *_BITS, "keys", "bitmap"],
                 )
 
     return run
 
 
-def _full_sets(n: int):
+def nearness(percent: int) -> Nearness:
+    """Sets that may link, by size and by the lower bound of their symmetric difference that the parity bitmaps give."""
+
+    def apart(f: Facts, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(f[b][i] ^ f[b][j]).astype(np.int64) for b in _BITS)
+
+    def near(f: Facts, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        one, two = f["size"][i].astype(np.int64), f["size"][j].astype(np.int64)
+        return (100 * np.minimum(one, two) >= percent * np.maximum(one, two)) & (apart(f, i, j) * (100 + percent) <= (one + two) * (100 - percent))
+
+    return Nearness({"size": "<i4"} | dict.fromkeys(_BITS, "<u8"), near, apart)
+
+
+def _dealt(kind: Nearness, parts: int):
+    """id, size, bitmap, keys -> the keys, dealt."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(kind, parts)
         for batch in batches:
+            n = np.diff(batch.column("keys").offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), n)
+            facts = {c: batch.column(c).to_numpy()[row] for c in kind.facts}
+            yield from dealer.add(batch.column("keys").flatten().to_numpy().view(np.uint64), batch.column("id").to_numpy()[row], kind.numpy(facts))
+        yield from dealer.finish()
+
+    return run
+
+
+#: Bytes of a shingle's hash where sets are compared.
+ELEMENT = 6
+
+
+def _full_sets(n: int, wanted: Sieve):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted.has(batch.column("doc_id").fill_null(0).to_numpy())))
             for part in K.chunks(batch):
                 value, at = shingle_sets(K.Texts.of(part.column("text")), n)
-                sets = [value[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+                short = value.view(np.uint8).reshape(-1, 8)[:, 8 - ELEMENT :]
+                sets = [short[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "elements"])
 
     return run
 
 
+def _elements(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // ELEMENT, 8), np.uint8)
+    out[:, 8 - ELEMENT :] = np.frombuffer(raw, np.uint8).reshape(-1, ELEMENT)
+    return out.view(np.uint64).ravel()
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, one = [], None, None
-            sa, sb = batch.column("sa"), batch.column("sb")
-            for i, a in enumerate(batch.column("a").to_pylist()):
-                if a != last:
-                    last, one = a, np.frombuffer(sa[i].as_py(), np.uint64)
-                two = np.frombuffer(sb[i].as_py(), np.uint64)
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                if 100 * shared >= percent * (len(one) + len(two) - shared):
+            keep = []
+            for i, (one, two) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
+                both = np.sort(np.concatenate([_elements(one.as_py()), _elements(two.as_py())]))
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= percent * (len(both) - shared):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
 
-def _apart(x: str, y: str) -> str:
-    """A lower bound of the symmetric difference, from the parity bitmaps."""
-    return " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in _BITS)
-
-
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
@@ -259,7 +303,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     levels, sizes = corpus_sketch(texts.select("text"), shingle)
     limit = boundary(sizes, percent, float((levels > 0).mean()))
     schema = f"doc_id long, size long, k1 long, k2 long, {', '.join(f'{b} long' for b in _BITS)}, keys array<long>, bitmap binary"
-    sets = stash(texts.mapInArrow(_class_rows(shingle, percent, levels, limit), schema), "sets")
+    sets = stash(texts.mapInArrow(lean(_class_rows(shingle, percent, levels, limit)), schema), "sets")
     known = sets.where("size > 0 AND doc_id IS NOT NULL")
 
     # One class for equal sets; its id is its smallest document.
@@ -270,13 +314,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     )
     # a document that is repeated with other texts can stand for several sets: the set's digest is part of the class
     first = with_class.where("doc_id = class").select("doc_id", "size", "k1", "k2").distinct()
-    classes = known.join(first, ["doc_id", "size", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"])
-    rows = classes.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    often = stash(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    may = Sieve(often)
-    facts = classes.select(F.col("doc_id").alias("id"), "size", *_BITS)
-    listed = rows.where(may(F.col("key"))).join(often, "key").distinct()
-    listed = stash(listed.join(facts, "id").select("key", "id", "size", *_BITS), "lists")
+    classes = stash(known.join(first, ["doc_id", "size", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"]), "class-sets")
+    kind = nearness(percent)
+    rows = classes.select(F.col("doc_id").alias("id"), F.col("size").cast("int").alias("size"), *_BITS, "keys")
+    shared = nearest_rows(rows.mapInArrow(lean(_dealt(kind, PARTS * tasks_of(docs))), Dealer.KIND), kind)
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs that link: by long bitmaps first, then by full sets.
@@ -285,24 +326,18 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
         """
         one, two = (classes.select(F.col("doc_id").alias(x), F.col("size").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}")) for x in "ab")
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ma", "mb")
-        pairs = stash(both.mapInArrow(_bitmaps_close(percent), "a long, b long").distinct(), "close")
+        pairs = stash(both.mapInArrow(lean(_bitmaps_close(percent)), "a long, b long").distinct(), "close")
         ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        wanted = Sieve(ids)
-        own = texts.where(wanted(F.coalesce("doc_id", F.lit(0)))).join(ids, "doc_id", "left_semi")
-        full = stash(own.mapInArrow(_full_sets(shingle), "id long, elements binary"), "elements")
+        with Sieve(ids) as wanted:
+            full = stash(texts.mapInArrow(lean(_full_sets(shingle, wanted)), "id long, elements binary"), "elements")
         one, two = (full.select(F.col("id").alias(x), F.col("elements").alias(f"s{x}")) for x in "ab")
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
-        return both.mapInArrow(_verified(percent), "a long, b long").distinct()
-
-    links = with_class.where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
-
-    def close(x: str, y: str) -> str:
-        return (
-            f"100 * least({x}.size, {y}.size) >= {percent} * greatest({x}.size, {y}.size) AND "
-            f"({_apart(x, y)}) * {100 + percent} <= ({x}.size + {y}.size) * {100 - percent}"
-        )
+        return both.mapInArrow(lean(_verified(percent)), "a long, b long").distinct()
 
-    found = connect(listed, ["size", *_BITS], close, _apart, verify, links)
+    # a copy's link to its class, and a class's to its component
+    copies = with_class.where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
+    groups = link(shared, kind, verify).where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = components(copies.unionByName(groups))
     ids = found.alias("f")
     return sets.alias("s").join(ids, F.col("s.doc_id") == F.col("f.node"), "left").select(
         "s.doc_id", F.col("s.size").alias("n_shingles"), F.coalesce("f.component", "s.doc_id").alias("component_id")

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from kairn.llm import graph
+from kairn.llm import graph, lists
 from kairn.llm import jaccard_join as J
 
 from .cases import awkward, frame, prose, sf
@@ -68,6 +68,11 @@ def test_awkward(spark, n, percent):
 @pytest.mark.parametrize("few", [0, 100_000])
 def test_table(spark, monkeypatch, few):
     monkeypatch.setattr(graph, "FEW", few)
+    if few < 100:
+        # all lists go through the rounds
+        monkeypatch.setattr(lists, "FEW", 1)
+        monkeypatch.setattr(lists, "SHORT", 3)
+        monkeypatch.setattr(lists, "LIST", 9)
     check(spark.read.parquet(f"{sf('sf0.01')}/documents.parquet"))
 
 
