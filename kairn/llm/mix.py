@@ -262,11 +262,13 @@ def mix_documents(
     pieces, drawn, _ = draw(small, weights, share, most, seed)
     spans = _joined(pieces, drawn).groupBy("key", "source", "pass").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("start", "n")))).alias("spans"))
     full = rows.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "source", "text", "row").alias("d")
+
+    def taken(words: Column) -> Column:
+        return F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), s["n"].cast("int")))), " ")
+
+    # the words are the variable of an outer function, so that a text is split once and not for each span
     words = F.regexp_extract_all("text", F.lit(f"([^{SPACE}]+)"), F.lit(1))
-    out = full.join(spans.alias("s"), F.expr("d.key <=> s.key AND d.source <=> s.source")).select(
-        "row",
-        F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), s["n"].cast("int")))), " ").alias("text"),
-    )
+    out = full.join(spans.alias("s"), F.expr("d.key <=> s.key AND d.source <=> s.source")).select("row", F.transform(F.array(words), taken)[0].alias("text"))
     return with_text(out, docs.columns)
 
 
