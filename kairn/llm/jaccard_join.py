@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .graph import components
 from .lists import PARTS, Dealer, Facts, Nearness, link, nearest_rows, tasks_of
-from .util import Sieve, core, group_back, lean, packed, stash
+from .util import Sieve, core, discard, group_back, lean, packed, stash
 
 #: Slots of the frequency sketch, and slots in one row of it.
 SKETCH, ROW = 1 << 21, 1 << 14
@@ -246,7 +246,9 @@ def _dealt(kind: Nearness, parts: int):
             n = np.diff(batch.column("keys").offsets.to_numpy())
             row = np.repeat(np.arange(len(n)), n)
             facts = {c: batch.column(c).to_numpy()[row] for c in kind.facts}
-            yield from dealer.add(batch.column("keys").flatten().to_numpy().view(np.uint64), batch.column("id").to_numpy()[row], kind.numpy(facts))
+            # the rarest elements are those with the smallest hashes of their level: mixed, they spread over all parts
+            keys = K.mix(batch.column("keys").flatten().to_numpy().view(np.uint64))
+            yield from dealer.add(keys, batch.column("id").to_numpy()[row], kind.numpy(facts))
         yield from dealer.finish()
 
     return run
@@ -319,6 +321,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     rows = classes.select(F.col("doc_id").alias("id"), F.col("size").cast("int").alias("size"), *_BITS, "keys")
     shared = nearest_rows(rows.mapInArrow(lean(_dealt(kind, PARTS * tasks_of(docs))), Dealer.KIND), kind)
 
+    spent: list[DataFrame] = []
+
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs that link: by long bitmaps first, then by full sets.
 
@@ -327,16 +331,20 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
         one, two = (classes.select(F.col("doc_id").alias(x), F.col("size").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}")) for x in "ab")
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ma", "mb")
         pairs = stash(both.mapInArrow(lean(_bitmaps_close(percent)), "a long, b long").distinct(), "close")
+        spent.append(pairs)
         ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         with Sieve(ids) as wanted:
             full = stash(texts.mapInArrow(lean(_full_sets(shingle, wanted)), "id long, elements binary"), "elements")
+        spent.append(full)
         one, two = (full.select(F.col("id").alias(x), F.col("elements").alias(f"s{x}")) for x in "ab")
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
         return both.mapInArrow(lean(_verified(percent)), "a long, b long").distinct()
 
     # a copy's link to its class, and a class's to its component
     copies = with_class.where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
-    groups = link(shared, kind, verify).where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    groups = link(shared, kind, verify)
+    discard(shared, classes, *spent)
+    groups = groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     found = components(copies.unionByName(groups))
     ids = found.alias("f")
     return sets.alias("s").join(ids, F.col("s.doc_id") == F.col("f.node"), "left").select(

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import cells_of_pairs, components
-from .util import lean, stash
+from .util import discard, lean, stash
 
 #: Records that a task gathers before it writes them out, or before it looks for lists that are too long.
 FLUSH = 1 << 19
@@ -38,6 +38,8 @@ SHORT, TILE = 64, 256
 #: Rounds that look for the nearest of each row, before all pairs that are left meet; fewer, if under
 #: one in WORTH of a round's pairs links.
 ROUNDS, WORTH = 3, 4
+#: So many of a row's smallest keys go with it, so that few pairs are made in two lists.
+FIRST = [f"first{i}" for i in range(4)]
 #: Parts of the key space for each task that reads them.
 PARTS = 4
 #: Apart by more than any two near rows.
@@ -274,13 +276,21 @@ def _apart_rows(kind: Nearness):
 
 
 def _pairs(kind: Nearness, nearest: bool = False):
-    """key, i, j, side, id, component, top, facts, sorted by key, i and j -> near pairs (a, b) of two components.
+    """key, i, j, side, id, component, top, FIRST, facts, sorted by key, i and j -> near pairs (a, b) of two components.
 
     Rows with one key, i and j are a cell: a short list (side 0), or a block of a long one, where rows
     outside the list's component `top` (side 1) meet all rows (side 2). With `nearest`, only the
     nearest pair of each row with components that come before its own: larger ones in a large cell.
+    A pair that shares a key under this one among the first of both rows is left to that key's list.
     """
-    names = ["key", "i", "j", "side", "id", "component", "top", *kind.facts]
+    names = ["key", "i", "j", "side", "id", "component", "top", *FIRST, *kind.facts]
+
+    def here(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        key, before = rows["key"][x], np.zeros(len(x), bool)
+        for one in FIRST:
+            for two in FIRST:
+                before |= (rows[one][x] == rows[two][y]) & (rows[one][x] < key)
+        return ~before
 
     def pairs(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, i, j, ids, component, side = (rows[c] for c in ("key", "i", "j", "id", "component", "side"))
@@ -310,6 +320,8 @@ def _pairs(kind: Nearness, nearest: bool = False):
                 later = rank[which[x - a]] > rank[which[y - a]]
                 out.append((np.where(later, x, y), np.where(later, y, x)))
         x, y = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (few[:0], few[:0])
+        own = here(rows, x, y)
+        x, y = x[own], y[own]
         if nearest and len(x):
             order = np.lexsort((kind.apart(facts, x, y), x))
             first = order[_starts(x[order])]
@@ -357,8 +369,9 @@ def link(shared: DataFrame, kind: Nearness, verify: Callable[[DataFrame], DataFr
     few = shared.where("key IS NULL").select(F.col("near").alias("a"), F.col("id").alias("b"))
     best = shared.where("key IS NOT NULL AND near <> id").groupBy("id").agg(F.min(F.struct("apart", "near")).alias("m"))
     best = best.select(F.least("id", "m.near").alias("a"), F.greatest("id", "m.near").alias("b"))
-    found = stash(verify(stash(few.where("a <> b").unionByName(best).distinct(), "pairs")), "links")
-    groups = components(found)
+    pairs = stash(few.where("a <> b").unionByName(best).distinct(), "pairs")
+    found = stash(verify(pairs), "links")
+    spent, groups = [pairs, found], components(found)
 
     def named(rows: DataFrame, *columns: str) -> DataFrame:
         both = rows.join(groups.withColumnRenamed("node", "id"), "id", "left")
@@ -369,22 +382,32 @@ def link(shared: DataFrame, kind: Nearness, verify: Callable[[DataFrame], DataFr
     rows = rows.repartition(tasks, "key").sortWithinPartitions("key", "id")
     rest = rows.mapInArrow(lean(_apart_rows(closer)), f"key long, id long, component long, {closer.columns()}, long boolean")
     rest = stash(rest.drop("component"), "rest")
+    spent.append(rest)
     if rest.isEmpty():
+        discard(*spent)
         return groups
+    keys = rest.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    first = keys.select("id", *[F.coalesce(F.get("keys", F.lit(i)), F.lit(2**63 - 1)).alias(c) for i, c in enumerate(FIRST)])
+    rest = stash(rest.join(first, "id"), "rest")
+    spent.append(rest)
     zero, turn = F.lit(0).cast("long"), 0
     while turn <= ROUNDS:
-        rows = named(rest, "long", *closer.facts)
-        cells = rows.where("NOT long").select("key", zero.alias("i"), zero.alias("j"), F.lit(0).alias("side"), "id", "component", zero.alias("top"), *closer.facts)
+        rows = named(rest, "long", *FIRST, *closer.facts)
+        cells = rows.where("NOT long").select("key", zero.alias("i"), zero.alias("j"), F.lit(0).alias("side"), "id", "component", zero.alias("top"), *FIRST, *closer.facts)
         cells = cells.unionByName(cells_of_pairs(rows.where("long").drop("long")).select(*cells.columns))
         cells = cells.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
         pairs = stash(cells.mapInArrow(lean(_pairs(closer, turn < ROUNDS)), "a long, b long").distinct(), "pairs")
+        spent.append(pairs)
         n = pairs.count()
         if not n:
             break
         more = stash(verify(pairs), "more-links")
+        spent.append(more)
         linked = more.count()
         if linked:
             found = found.unionByName(more)
             groups = components(found)
         turn = turn + 1 if turn == ROUNDS or WORTH * linked >= n else ROUNDS
+    # components are tables of their own
+    discard(*spent)
     return groups

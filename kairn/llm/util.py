@@ -40,10 +40,12 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; a temporary one only where the session names none."""
+    """The folder the cluster shares. Only a local session may name none; it gets a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="kairn-"))
         named = sc.getCheckpointDir()
     return named
@@ -53,7 +55,7 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, not what came before. The shuffle
-    files of the job go with it; the table goes when the session's JVM ends.
+    files of the job go with it; the table goes when it is discarded, or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/kairn-{what}-{uuid.uuid4().hex}"
@@ -64,10 +66,23 @@ def stash(df: DataFrame, what: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(schema).parquet(path)
+    file_system, target = _located(spark, path)
+    file_system.deleteOnExit(target)
+    table = spark.read.schema(schema).parquet(path)
+    table._stash = path
+    return table
+
+
+def _located(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables; nothing that is still to run may read them."""
+    for table in tables:
+        file_system, target = _located(table.sparkSession, table._stash)
+        file_system.delete(target, True)
 
 
 def packed(docs: DataFrame) -> DataFrame:
