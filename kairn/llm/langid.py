@@ -217,7 +217,9 @@ def train(docs: DataFrame) -> GatedNetwork:
     some = (
         rows.join(F.broadcast(shares), "lang")
         .where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-        .limit(2 * SAMPLE_DOCS * len(languages))
+        # one text of an id, then the first by hash: repeated rows neither crowd the sample nor change it
+        .groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+        .orderBy(F.xxhash64("doc_id", "lang"), "doc_id", "lang").limit(2 * SAMPLE_DOCS * len(languages))
         .select("doc_id", "lang", "text").mapInArrow(_some_windows, "doc_id long, lang string, bytes binary, n int")
     )
     got = sorted(some.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], bytes(r["bytes"])))
@@ -245,6 +247,9 @@ def _some_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+_ASCII_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+
+
 def _has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
@@ -260,8 +265,11 @@ def predict(rows: DataFrame, net: GatedNetwork) -> DataFrame:
                 texts = part.column("text")
                 pooled = net.texts(K.Texts.of(texts))
                 best, score = pooled.argmax(axis=1), pooled.max(axis=1)
-                # a look at the characters is only needed where no ASCII letter was pooled for sure
-                letter = [_has_letter(s.as_py()) for s in texts]
+                # a look at the characters is only needed where there is no ASCII letter
+                t = K.Texts.of(texts)
+                letter = K.per_text_sum(_ASCII_LETTER[t.data], t.at) > 0
+                for i in np.flatnonzero(~letter):
+                    letter[i] = _has_letter(texts[int(i)].as_py())
                 label = [net.languages[i] if ok else UND for i, ok in zip(best, letter, strict=True)]
                 score = np.where(letter, np.clip(score, 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(label, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
