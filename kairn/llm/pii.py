@@ -3,19 +3,24 @@
 A value that is found and validated (check digits, ranges, calendar) is replaced by another of the
 same format under a keyed Feistel permutation. Being a permutation of the format, it maps different
 values to different ones; being keyed by nothing but the key and the kind, it maps equal values of
-all documents to the same one, so they stay linked.
+all documents to the same one, so they stay linked. Round functions are keyed hashes of two passes
+(HMAC's form). The key is a scalar subquery over a local table: plans, event logs and the user
+interface name the subquery, not the key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .util import packed
 
 ROUNDS = 8
-#: Dates are permuted within these days: 300 * 300 from 1860-01-01 (to 2106-05-31).
-FIRST_DAY, SIDE = "DATE'1860-01-01'", 300
+#: Dates are permuted within the 400 years (from 1, 401, ...) that they are in: days as left x right.
+#: The last of these ends with the year 9999.
+FIRST_DAY, ERA, LAST_ERA = "DATE'0001-01-01'", (189, 773), (93, 1567)
 
 #: kind -> pattern, tried in this order at each place. Java syntax. Patterns have no groups of their own.
 PATTERNS = {
@@ -24,15 +29,24 @@ PATTERNS = {
     "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])",
     "day": r"(?<![A-Za-z0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![A-Za-z0-9]|-[0-9])",
     "dotted_day": r"(?<![A-Za-z0-9./])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![A-Za-z0-9]|\.[0-9])",
+    "dotted_short": r"(?<![A-Za-z0-9./])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![A-Za-z0-9]|\.[0-9])",
     "slashed_day": r"(?<![A-Za-z0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![A-Za-z0-9/])",
+    "slashed_short": r"(?<![A-Za-z0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![A-Za-z0-9/])",
+    "day_first": r"(?<![A-Za-z0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![A-Za-z0-9/])",
+    "day_first_short": r"(?<![A-Za-z0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![A-Za-z0-9/])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])",
     "card": r"(?<![A-Za-z0-9])(?<![0-9][.,-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9.-])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9]|[.-][0-9])",
     "intl": r"\+[0-9](?:[ .-]?[0-9]){7,14}(?![A-Za-z0-9])",
+    "national": r"(?<![A-Za-z0-9.+-])0[0-9]{2,4}[ -][0-9]{3,4}[ -]?[0-9]{3,4}(?![A-Za-z0-9]|[.-][0-9])",
+    "ten_digits": r"(?<![A-Za-z0-9.-])[2-9][0-9]{2}[2-9][0-9]{6}(?![A-Za-z0-9]|[.-][0-9])",
     "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-DATES = {"day": "yyyy-MM-dd", "dotted_day": "dd.MM.yyyy", "slashed_day": "MM/dd/yyyy"}
+ANY = "|".join(f"(?:{p})" for p in dict.fromkeys(PATTERNS.values()))
+DATES = {
+    "day": "yyyy-MM-dd", "dotted_day": "dd.MM.yyyy", "dotted_short": "d.M.yyyy", "slashed_day": "MM/dd/yyyy",
+    "slashed_short": "M/d/yyyy", "day_first": "dd/MM/yyyy", "day_first_short": "d/M/yyyy",
+}
 
 
 def _quoted(s: str) -> str:
@@ -40,8 +54,20 @@ def _quoted(s: str) -> str:
 
 
 def _number(key: str, *parts: str) -> str:
-    """SQL for a keyed 48-bit number from the SQL strings in parts."""
-    return f"CAST(conv(substr(sha2(concat_ws('|', {key}, {', '.join(parts)}), 256), 1, 12), 16, 10) AS BIGINT)"
+    """SQL for a keyed 48-bit number from the SQL strings in parts; key is a column with the inner and the outer key."""
+    inner = f"sha2(concat_ws('|', {key}.inner, {', '.join(parts)}), 256)"
+    return f"CAST(conv(substr(sha2(concat_ws('|', {key}.outer, {inner}), 256), 1, 12), 16, 10) AS BIGINT)"
+
+
+def _hidden(spark: SparkSession, key: str) -> Column:
+    """inner and outer, derived from the key, as a struct that a plan shows as a subquery."""
+    keys = [hashlib.sha256(f"{part}|{key}".encode()).hexdigest() for part in ("inner", "outer")]
+    jvm = spark.sparkContext._jvm
+    local = jvm.java.util.ArrayList()
+    local.add(" ".join(keys))
+    table = DataFrame(spark._jsparkSession.createDataset(local, jvm.org.apache.spark.sql.Encoders.STRING()), spark)
+    both = F.split("value", " ")
+    return table.select(F.struct(both[0].alias("inner"), both[1].alias("outer"))).scalar()
 
 
 def _chars(value: str, kind: str, key: str, alphabet: str | None = None) -> str:
@@ -113,7 +139,7 @@ def _kind(m: str) -> str:
     for kind, pattern in PATTERNS.items():
         is_it = f"{m} RLIKE {_quoted('^(?:' + pattern + ')$')}"
         if kind in DATES:
-            is_it += f" AND try_to_date({m}, '{DATES[kind]}') BETWEEN {FIRST_DAY} AND date_add({FIRST_DAY}, {SIDE * SIDE - 1})"
+            is_it += f" AND try_to_date({m}, '{DATES[kind]}') IS NOT NULL"
         elif kind == "ip":
             is_it += f" AND forall(split({m}, '[.]'), o -> CAST(o AS INT) < 256 AND (o = '0' OR o NOT LIKE '0%'))"
         elif kind == "iban":
@@ -138,8 +164,13 @@ def _pseudonym(m: str, kind: str, key: str) -> str:
     rules = []
     for k, form in DATES.items():
         n = f"datediff(try_to_date({m}, '{form}'), {FIRST_DAY})"
-        new = _pair(f"{n} div {SIDE}", f"{n} % {SIDE}", SIDE, SIDE, "day", key, f"date_format(date_add({FIRST_DAY}, CAST(a.l * {SIDE} + a.r AS INT)), '{form}')")
-        rules.append(f"WHEN {kind} = '{k}' THEN {new}")
+        days = ERA[0] * ERA[1]
+
+        def day(era: tuple[int, int], n: str = n, form: str = form, days: int = days) -> str:
+            done = f"date_format(date_add({FIRST_DAY}, CAST({n} - {n} % {days} + a.l * {era[1]} + a.r AS INT)), '{form}')"
+            return _pair(f"({n} % {days}) div {era[1]}", f"({n} % {days}) % {era[1]}", *era, "day", key, done)
+
+        rules.append(f"WHEN {kind} = '{k}' THEN IF({n} div {days} < 24, {day(ERA)}, {day(LAST_ERA)})")
     flat = f"replace({m}, ' ', '')"
     bban = f"element_at(transform(array(substr({flat}, 5)), num -> {_chars('num', 'iban', key)}), 1)"
     check = _mod97(f"concat(b, substr({flat}, 1, 2), '00')")
@@ -154,7 +185,7 @@ def _pseudonym(m: str, kind: str, key: str) -> str:
         f"WHEN {kind} = 'iban' THEN {spaced}",
         f"WHEN {kind} = 'card' AND {_luhn(d, 0)} = 0 THEN {_refill(m, with_pay)}",
         f"WHEN {kind} IN ('card', 'ssn') THEN {_refill(m, with_num)}",
-        f"WHEN {kind} IN ('phone', 'intl') THEN {_refill(m, last_ten)}",
+        f"WHEN {kind} IN ('phone', 'intl', 'national', 'ten_digits') THEN {_refill(m, last_ten)}",
         f"WHEN {kind} = 'secret' THEN {secret}",
     ]
     return f"CASE {' '.join(rules)} ELSE {m} END"
@@ -163,21 +194,22 @@ def _pseudonym(m: str, kind: str, key: str) -> str:
 def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     """One row per document: the struct `row` of docs' columns, doc_id, the new text, n_values, kinds.
 
-    Replaced are: e-mail addresses, IBANs with right check digits, IPv4 addresses, calendar dates,
-    numbers of 13 to 19 digits (with right Luhn digits: so is the pseudonym), social security and phone
-    numbers (a country code stays; the last ten digits are linked however they are written), and mixed
-    tokens of 20 characters or more. kinds lists what was found, sorted and distinct. A null text stays
-    null; a text without any is unchanged; repeated rows and null ids get a row each. Runs in the JVM
-    in one pass, without a shuffle.
+    Replaced are: e-mail addresses, IBANs with right check digits, IPv4 addresses, calendar dates
+    (2024-02-29, 29.02.2024, 2/29/2024 and, where that is no date, 29/02/2024; a pseudonym is of the
+    same 400 years), numbers of 13 to 19 digits (with right Luhn digits: so is the pseudonym), social
+    security and phone numbers (a country code stays; the last ten digits are linked however they are
+    written; without separators, ten digits that can be an area code and a number), and mixed tokens
+    of 20 characters or more. kinds lists what was found, sorted and distinct. A null text stays null;
+    a text without any is unchanged; repeated rows and null ids get a row each. Runs in the JVM in one
+    pass over whole texts, without a shuffle.
     """
-    quoted = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
     may = F.col("text").rlike("[0-9]|@")
     found = packed(docs).select(
-        "row", "doc_id", "text",
+        "row", "doc_id", "text", _hidden(docs.sparkSession, key).alias("_key"),
         F.when(may, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.expr("array()").cast("array<string>")).alias("found"),
     )
     kinds = found.withColumn("values", F.expr(f"transform(found, m -> named_struct('m', m, 'k', {_kind('m')}))"))
-    new = F.expr(f"transform(values, v -> {_pseudonym('v.m', 'v.k', quoted)})")
+    new = F.expr(f"transform(values, v -> {_pseudonym('v.m', 'v.k', '_key')})")
     gaps = F.split("text", ANY)
     joined = F.array_join(F.flatten(F.zip_with(gaps, "new", lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
     out = kinds.withColumn("new", F.when(F.size("values") > 0, new).otherwise(F.expr("array()").cast("array<string>")))
