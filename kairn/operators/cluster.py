@@ -80,20 +80,23 @@ def fit(frames: DataFrame, config: EngineConfig, by: list[str] | None = None) ->
                 continue
             key_types = [batch.schema.field(b).type for b in by]
             owners = list(zip(*[batch.column(b).to_pylist() for b in by], strict=True)) if by else [()] * batch.num_rows
-            for owner, i, x in zip(owners, batch.column("frame_id").to_pylist(), matrix(batch.column("data")), strict=True):
-                if stepper is None or owner != key:
+            ids, cut = batch.column("frame_id").to_pylist(), [k for k in range(batch.num_rows) if not k or owners[k] != owners[k - 1]]
+            # vectors have one length in a stream, not in all streams of a task
+            for a, b in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+                if stepper is None or owners[a] != key:
                     if steps:
                         yield made()
-                    stepper, key, stopped, steps = FrameStepper(config), owner, False, []
-                if stopped:
-                    continue
-                try:
-                    steps.append((i, stepper.step(x)))
-                except Stopped:
-                    stopped = True
-                if len(steps) >= STEPS and not held_back:
-                    yield made()
-                    steps = []
+                    stepper, key, stopped, steps = FrameStepper(config), owners[a], False, []
+                for i, x in zip(ids[a:b], matrix(batch.column("data").slice(a, b - a)), strict=True):
+                    if stopped:
+                        break
+                    try:
+                        steps.append((i, stepper.step(x)))
+                    except Stopped:
+                        stopped = True
+                    if len(steps) >= STEPS and not held_back:
+                        yield made()
+                        steps = []
         if steps:
             yield made()
 

@@ -149,7 +149,7 @@ def analysis_json(model: Model) -> DataFrame:
     clusters = each.agg(F.array_sort(F.collect_list(F.struct("id", "size", "birth_frame", "death_frame", "duty", "p_stay", "dwell", "mean_dist", "max_dist", "std_dist"))).alias("clusters"))
     top = moves.where("src <> dst").orderBy(F.desc("n"), "src", "dst").limit(5).agg(F.collect_list(F.struct("src", "dst", "n")).alias("top_transitions"))
     parts = [
-        A.cluster_entropy(m).select(F.struct(F.col("entropy").alias("shannon_entropy_bits"), F.col("evenness").alias("normalized_entropy")).alias("entropy")),
+        A.cluster_entropy(m).select(F.struct("k", "entropy", "evenness").alias("entropy")),
         model.telemetry().select(F.struct("*").alias("stats")), A.topology(model.dcc(), c.rlim).select(F.struct("*").alias("topology")), top, clusters,
     ]
     # one row each

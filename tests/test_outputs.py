@@ -117,6 +117,14 @@ def test_streams_in_one_task(spark):
         assert {r.frame_id: (r.cluster_id, r.dist) for r in C.fit(own, EngineConfig(rlim=2.0)).collect()} == {i: v for (w, i), v in both.items() if w == k}
 
 
+def test_streams_of_other_lengths(spark):
+    from kairn.operators.cluster import fit
+
+    rows = [(k, i, [float(i % 3)] * (k + 1)) for k in range(3) for i in range(30)]
+    got = fit(spark.createDataFrame(rows, "who int, frame_id long, data array<double>").coalesce(1), EngineConfig(rlim=0.5), ["who"]).collect()
+    assert len(got) == 90 and all(r.cluster_id == r.frame_id % 3 for r in got)
+
+
 def test_sparse_orders(spark, monkeypatch):
     """Sparse, negative and dense order values give the same previous rows, in few spans."""
     from kairn.functions import ordered as O
