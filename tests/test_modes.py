@@ -144,3 +144,62 @@ def test_second_implementation(kind, options):
         got, (u, evals) = fast.step(x), plain.step(x)
         assert (got.cluster, [(k, round(d, 9)) for k, d in got.evals]) == (u, evals), i
     assert [fast.final(u) for u in range(plain.made)] == [plain.final(u) for u in range(plain.made)]
+
+
+def unit(n, dims=16, seed=2):
+    x = np.random.default_rng(seed).normal(size=(n, dims))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_visitors_of_a_probe_are_weighed_at_once(monkeypatch):
+    from kairn.operators import stepper as S
+
+    calls, plain = [], S.fmatch_np
+    monkeypatch.setattr(S, "fmatch_np", lambda *a: calls.append(1) or plain(*a))
+    s = FrameStepper(EngineConfig(rlim=1.0, unlimited=True, gprob=True))
+    probes = sum(len(s.step(x).probes) for x in unit(200))
+    assert 0 < len(calls) <= probes
+
+
+def test_visits_keep_the_last_ones():
+    from kairn.operators.stepper import Visits
+
+    v, every = Visits(6, 0), [(0, 0.0)]
+    for i in range(1, 100):
+        v.add(3 * i, i / 2)
+        every.append((3 * i, i / 2))
+        frame, dist = v.before(5)
+        assert list(zip(frame.tolist(), dist.tolist(), strict=True)) == every[-6:-1] and len(v.frame) <= 16
+
+
+@pytest.mark.parametrize("fast", [False, True])
+def test_probes_that_tell_nothing_apart_need_no_masks(fast):
+    """All distances of unit vectors are within 2 rlim here."""
+    import sys
+
+    s, seen = FrameStepper(EngineConfig(rlim=1.1, unlimited=True, entropy=True, entropy_fast=fast, entropy_gate=0.1, entropy_first_gate=0.1)), []
+    sys.setprofile(lambda frame, event, _: seen.append(1) if event == "call" and frame.f_code.co_name == "masks" else None)
+    try:
+        steps = [s.step(x) for x in unit(80)]
+    finally:
+        sys.setprofile(None)
+    assert any(len(p.probes) > 3 for p in steps) and not seen
+
+
+def test_four_points_at_once_are_those_of_the_bound():
+    from kairn.functions.metric import bound_4pt_np
+
+    x = unit(60, 4)
+    s = FrameStepper(EngineConfig(rlim=0.3, unlimited=True, te4=True))
+    for v in x:
+        s.step(v)
+    q, k = unit(1, 4, 9)[0], s.k
+    measured = [(i, float(np.linalg.norm(q - s.anchors[i]))) for i in range(6)]
+    active = np.ones(k, bool)
+    active[:6] = False
+    want, (c, d) = active.copy(), measured[-1]
+    for a in np.flatnonzero(active):
+        near = abs(s.low[c, a] - d) <= 0.3
+        want[a] = near and all(bound_4pt_np(s.low[p, c], e, d, s.low[p, a], s.low[c, a]) <= 0.3 for p, e in measured[:-1])
+    s._prune(measured, active)
+    assert (active == want).all() and not want[6:].all()
