@@ -203,3 +203,49 @@ def test_four_points_at_once_are_those_of_the_bound():
         want[a] = near and all(bound_4pt_np(s.low[p, c], e, d, s.low[p, a], s.low[c, a]) <= 0.3 for p, e in measured[:-1])
     s._prune(measured, active)
     assert (active == want).all() and not want[6:].all()
+
+
+def counted(monkeypatch, options, *names):
+    """Probes of 120 frames, and how often these numpy functions were called."""
+    calls = dict.fromkeys(names, 0)
+
+    def counts(name, plain):
+        def run(*a, **k):
+            calls[name] += 1
+            return plain(*a, **k)
+
+        return run
+
+    s, x = FrameStepper(EngineConfig(rlim=1.1, unlimited=True, **options)), unit(120)
+    with monkeypatch.context() as m:
+        for name in names:
+            m.setattr(np, name, counts(name, getattr(np, name)))
+        probes = sum(len(s.step(v).probes) for v in x)
+    return probes, calls
+
+
+@pytest.mark.parametrize("leader", [False, True])
+def test_blunt_probes_are_not_sorted(monkeypatch, leader):
+    probes, calls = counted(monkeypatch, {"entropy": True, "entropy_leader": leader, "entropy_gate": 0.1, "entropy_first_gate": 0.1}, "argsort")
+    assert probes > 400 and not calls["argsort"]
+
+
+def test_later_blunt_probes_need_no_entropy(monkeypatch):
+    probes, calls = counted(monkeypatch, {"entropy": True, "entropy_fast": True, "entropy_gate": 0.1, "entropy_first_gate": 0.1}, "frexp")
+    assert probes > 400 and 2 * calls["frexp"] < probes
+
+
+@pytest.mark.parametrize("soft", [False, True])
+def test_a_belief_looks_at_visitors_once(monkeypatch, soft):
+    probes, calls = counted(monkeypatch, {"gprob": True, "soft_bayesian": soft}, "where")
+    assert probes > 400 and 0 < calls["where"] <= (1 + soft) * probes
+
+
+@pytest.mark.parametrize("cap", [2, 3, 9])
+def test_first_of_the_likeliest(cap):
+    rng = np.random.default_rng(cap)
+    for n in (1, 5, 30, 80):
+        p, active = rng.integers(0, 6, n).astype(float), rng.integers(0, 4, n) > 0
+        active[-1] = True
+        at = np.flatnonzero(active)
+        assert FrameStepper._first_likely(p, active, cap) == at[np.sort(np.argsort(-p[at], kind="stable")[: 4 * cap])[0]]
