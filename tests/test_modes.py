@@ -249,3 +249,49 @@ def test_first_of_the_likeliest(cap):
         active[-1] = True
         at = np.flatnonzero(active)
         assert FrameStepper._first_likely(p, active, cap) == at[np.sort(np.argsort(-p[at], kind="stable")[: 4 * cap])[0]]
+
+
+def called(s, name):
+    """Counts the calls of this method of s."""
+    calls, plain = [], getattr(s, name)
+    setattr(s, name, lambda *a: calls.append(1) or plain(*a))
+    return calls
+
+
+@pytest.mark.parametrize("options", [{"entropy_fast": True, "entropy_gate": 1.0}, {"entropy_leader": True}, {"entropy_gate": 1.0, "entropy_first_gate": 1.0}, {"entropy_leader": True, "te4": True}], ids=str)
+def test_blunt_clusters_are_ranked_once_a_frame(options):
+    c = EngineConfig(rlim=1.1, unlimited=True, entropy=True, **options)
+    ranked, plain = FrameStepper(c), FrameStepper(c)
+    looks, probes, x = called(ranked, "_entropy_target"), 0, unit(80, 32)
+    for i, v in enumerate(np.concatenate([x, x + 0.05 * unit(80, 32, 3)])):
+        # as if some probe could tell clusters apart: each target is looked for by itself
+        plain.widest = np.inf
+        got, want = ranked.step(v), plain.step(v)
+        assert (got.evals, got.probes, got.pruned, got.entropy) == (want.evals, want.probes, want.pruned, want.entropy), i
+        probes += len(got.probes)
+    assert probes > 4 * 160 and len(looks) <= 160
+
+
+def test_visitors_are_not_filtered_for_each_probe(monkeypatch):
+    probes, calls = counted(monkeypatch, {"gprob": True}, "flatnonzero", "count_nonzero")
+    assert probes > 400 and not any(calls.values())
+
+
+def test_visitors_of_merged_clusters_weigh_their_heirs():
+    s, x = FrameStepper(EngineConfig(rlim=1.1, maxcl=8, maxcl_strategy="merge", gprob=True)), unit(60)
+    found = []
+    for v in x:
+        found.append(s.step(v).cluster)
+        for own in s.visitors:
+            assert own.cluster[: own.n].tolist() == [s.final(found[i]) for i in own.frame[: own.n]]
+    assert s.merged
+
+
+def test_probes_of_a_batch():
+    from kairn.operators.cluster import member_batch
+
+    s = FrameStepper(EngineConfig(rlim=1.1, unlimited=True, gprob=True))
+    steps = [s.step(v) for v in unit(60)]
+    got = member_batch([(i, o, o.cluster) for i, o in enumerate(steps)]).column("evals").to_pylist()
+    for row, o in zip(got, steps, strict=True):
+        assert [tuple(p.values()) for p in row] == [(*e, *p) for e, p in zip(o.evals, [*o.probes, (0.0, 0.0, 1.0)] if o.new else o.probes, strict=True)]
