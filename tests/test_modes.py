@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from kairn.config import EngineConfig
+from kairn.operators import stepper as S
 from kairn.operators.stepper import FrameStepper
 
 
@@ -295,3 +296,34 @@ def test_probes_of_a_batch():
     got = member_batch([(i, o, o.cluster) for i, o in enumerate(steps)]).column("evals").to_pylist()
     for row, o in zip(got, steps, strict=True):
         assert [tuple(p.values()) for p in row] == [(*e, *p) for e, p in zip(o.evals, [*o.probes, (0.0, 0.0, 1.0)] if o.new else o.probes, strict=True)]
+
+
+def plain_beside_guesses(monkeypatch, options, x, rlim, method):
+    """Steps with and without bounds tried for whole frames: all records and the state are equal. Calls of the method, probes, pruned."""
+    c = EngineConfig(rlim=rlim, te4=True, trace=True, **options)
+    quick, plain = FrameStepper(c), FrameStepper(c)
+    looks, probes, pruned = called(quick, method), 0, 0
+    for i, v in enumerate(x):
+        got = quick.step(v)
+        with monkeypatch.context() as m:
+            m.setattr(S, "TRUST", -1)
+            want = plain.step(v)
+        assert (got.cluster, got.evals, got.probes, got.pruned, got.trace) == (want.cluster, want.evals, want.probes, want.pruned, want.trace), i
+        assert (quick.visits == plain.visits).all() and (quick.prob == plain.prob).all() and quick.calls == plain.calls
+        probes, pruned = probes + len(got.probes), pruned + int(got.pruned)
+    return len(looks), probes, pruned
+
+
+@pytest.mark.parametrize("options", [{}, {"gprob": True, "sparse_dcc": True}], ids=str)
+def test_bounds_of_a_frame_are_tried_at_once(monkeypatch, options):
+    looks, probes, _ = plain_beside_guesses(monkeypatch, {"unlimited": True} | options, unit(200, 64), 1.2, "_prune_4pt")
+    assert probes > 1000 and looks < 40
+
+
+@pytest.mark.parametrize("dim", [2, 3, 6])
+@pytest.mark.parametrize("options", [{"unlimited": True}, {"unlimited": True, "gprob": True, "sparse_dcc": True}, {"maxcl": 12, "maxcl_strategy": "discard"}, {"maxcl": 12, "maxcl_strategy": "merge"}], ids=str)
+def test_bounds_that_drop_clusters(monkeypatch, options, dim):
+    monkeypatch.setattr(S, "TRUST", 10**9)
+    x = np.concatenate([np.random.default_rng(dim).random((150, dim)), [[0.5] * dim] * 3])
+    looks, _, pruned = plain_beside_guesses(monkeypatch, options, x, 0.15 * dim**0.5, "_prune_4pt")
+    assert looks and pruned
