@@ -327,3 +327,22 @@ def test_bounds_that_drop_clusters(monkeypatch, options, dim):
     x = np.concatenate([np.random.default_rng(dim).random((150, dim)), [[0.5] * dim] * 3])
     looks, _, pruned = plain_beside_guesses(monkeypatch, options, x, 0.15 * dim**0.5, "_prune_4pt")
     assert looks and pruned
+
+
+def test_5pt_bounds_of_a_frame_are_tried_at_once(monkeypatch):
+    monkeypatch.setattr(S, "THREES", 30)
+    monkeypatch.setattr(S, "_THREES", [])
+    looks, probes, _ = plain_beside_guesses(monkeypatch, {"unlimited": True, "te5": True}, unit(120, 64), 1.2, "_prune_5pt")
+    assert probes > 1000 and looks < 40
+
+
+@pytest.mark.parametrize("dim", [3, 6])
+@pytest.mark.parametrize("options", [{"unlimited": True}, {"maxcl": 12, "maxcl_strategy": "discard"}, {"maxcl": 12, "maxcl_strategy": "merge"}], ids=str)
+def test_5pt_bounds_that_drop_clusters(monkeypatch, options, dim):
+    monkeypatch.setattr(S, "TRUST", 10**9)
+    tried = []
+    plain = FrameStepper._prune_5pt
+    monkeypatch.setattr(FrameStepper, "_prune_5pt", lambda self, *a: (tried.append(a[-1].sum()), plain(self, *a), tried.append(a[-1].sum())))
+    x = np.concatenate([np.random.default_rng(dim).random((150, dim)), [[0.5] * dim] * 3])
+    plain_beside_guesses(monkeypatch, options | {"te5": True}, x, 0.15 * dim**0.5, "_prune_5pt")
+    assert any(a > b for a, b in zip(tried[::2], tried[1::2], strict=True))
